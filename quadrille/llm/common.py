@@ -53,18 +53,13 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     links = cut(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut(links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
+    labels = links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
+    labels = cut(labels)
     while True:
-        near = (
-            links.join(labels, links.v == labels.node)
-            .groupBy("u")
-            .agg(F.min("label").alias("near"))
-            .withColumnRenamed("u", "node")
-        )
-        moved = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
-        above = labels.select(F.col("node").alias("next"), F.col("label").alias("jump"))
-        moved = cut(moved.join(above, "next").select("node", "label", F.least("next", "jump").alias("next")))
-        changed = moved.where("next < label").limit(1).count()
-        labels = moved.select("node", F.col("next").alias("label"))
-        if not changed:
+        near = links.join(labels, links.v == labels.node).groupBy("u").agg(F.min("label").alias("near")).withColumnRenamed("u", "node")
+        above = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
+        moved = labels.join(near, "node").join(above, "label").select("node", F.least("near", "jump", "label").alias("next"), (F.least("near", "jump") < F.col("label")).alias("moved"))
+        moved = cut(moved)
+        if moved.where("moved").isEmpty():
             return labels.withColumnRenamed("label", "class_id")
+        labels = moved.select("node", F.col("next").alias("label"))

@@ -168,35 +168,38 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = banded.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     members = cut(banded.join(shared.select("key"), "key").select("key", "id", "n").dropDuplicates(["key", "id"]))
     texts = cut(docs.where("text is not null").join(members.select("id").distinct(), "id", "left_semi"))
-    links, labels, seen, cells = None, None, None, 1
-    while not members.isEmpty():
-        cell = F.pmod(F.xxhash64("id", "key"), F.lit(cells))
-        pivots = members.groupBy("key", cell.alias("cell")).agg(F.min(F.struct("id", "n", *(["class_id"] if labels is not None else []))).alias("p")).select("key", "p")
-        similar = F.least("n", "p.n") >= least * F.greatest("n", "p.n")
-        fresh = (F.col("id") != F.col("p.id")) & similar
+    links, labels, cells = None, None, 1
+    fields = ["id", "n"]
+    while True:
+        # one pivot for each cell of classes in a bucket meets all other members; then it leaves
+        # the bucket, so a large class with a few strangers costs each stranger one pass over it
+        cell = F.pmod(F.xxhash64(fields[-1], "key"), F.lit(cells))
+        pivots = members.groupBy("key", cell.alias("cell")).agg(F.min(F.struct(*fields)).alias("p"), F.count("*").alias("c"))
+        marks = pivots.groupBy("key").agg(F.collect_list("p").alias("ps"), F.sum("c").alias("held"))
+        met = members.join(marks, "key").withColumn("is_pivot", F.array_contains("ps.id", F.col("id")))
+        met = cut(met)
+        p = F.col("p")
+        fresh = (F.col("id") != p.id) & (F.least("n", p.n) >= least * F.greatest("n", p.n))
         if labels is not None:
-            fresh &= F.col("class_id") != F.col("p.class_id")
-        pairs = members.join(pivots, "key").where(fresh).select(F.least("id", "p.id").alias("b"), F.greatest("id", "p.id").alias("a")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+            fresh &= F.col("class_id") != p.class_id
+        pairs = met.select(*fields, F.explode("ps").alias("p")).where(fresh)
+        pairs = pairs.select(F.least("id", p.id).alias("b"), F.greatest("id", p.id).alias("a")).distinct()
         found = cut(verified(pairs, texts, words, least))
         links = found if links is None else links.unionByName(found)
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        labels = components(links)
-        plain = members.select("key", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left")
-        plain = cut(plain.withColumn("class_id", F.coalesce("class_id", "id")))
-        open_keys = plain.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where(F.col("lo") < F.col("hi"))
-        # a bucket whose members have all been pivots is finished
-        done = members.groupBy("key", cell.alias("cell")).agg(F.count("*").alias("c")).groupBy("key").agg(F.max("c").alias("most"))
-        open_keys = open_keys.join(done.where("most > 1"), "key").select("key")
-        members = cut(plain.join(open_keys, "key").select("key", "id", "n", "class_id"))
+        rest = met.where(~F.col("is_pivot") & (F.col("held") - F.size("ps") > 1)).select("key", *fields)
+        if labels is None:
+            labels = components(links)
+            rest = rest.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+            fields = ["id", "n", "class_id"]
+        several = rest.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi").select("key")
+        members = cut(rest.join(several, "key"))
+        if members.isEmpty():
+            break
         cells *= PIVOT_GROWTH
+    if cells > 1:
+        labels = components(links)
     whole = known.select("id", *same).join(groups, same, "left")
-    if labels is not None:
-        whole = whole.join(labels.select(F.col("node").alias("rep"), "class_id"), "rep", "left")
-    else:
-        whole = whole.withColumn("class_id", F.lit(None).cast(known.schema["id"].dataType))
+    whole = whole.join(labels.select(F.col("node").alias("rep"), "class_id"), "rep", "left")
     lone = F.when(F.col("id").isNotNull(), F.coalesce("class_id", "rep", "id"))
     return whole.select(F.col("id").alias(id_col), lone.alias("class_id"))
 
