@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with functions opN_<name>(spark, sf_dir) and, where SQL can express them, ORACLES.
-MODULES = ("secrets", "packing", "licenses", "minhash", "topk", "warc", "decontaminate", "quality", "langid")
+MODULES = ("secrets", "packing", "licenses", "minhash", "topk", "warc", "decontaminate", "quality", "langid", "substrings")
 
 
 def _modules() -> list:

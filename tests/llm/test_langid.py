@@ -39,7 +39,7 @@ def test_window_run_equals_training_run():
 def test_network_learns():
     rng = random.Random(0)
     rows = [(text(rng, k, 12).encode()[:90], i) for i, k in enumerate(ALPHABETS) for _ in range(60)]
-    net = train([r for r, _ in rows], np.array([y for _, y in rows]), list(ALPHABETS), rounds=60, lanes=60)
+    net = train([r for r, _ in rows], np.array([y for _, y in rows]), list(ALPHABETS), rounds=200, lanes=90)
     new = [(text(rng, k, n).encode(), i) for i, k in enumerate(ALPHABETS) for n in (3, 40, 900)]
     means = net.pooled([x for x, _ in new] + [b""])
     assert (means[:-1].argmax(axis=1) == [y for _, y in new]).all()
