@@ -144,11 +144,13 @@ def validate(spark: SparkSession, files: list[str], check_data: bool = False) ->
 def compare_bounds(files: DataFrame, data: DataFrame, bbox: str = "bbox") -> DataFrame:
     """Each file's declared bounds against those of its rows, with absolute differences.
 
-    files: sources.files.footers; data: rows with their `path` and boxes.
+    files: sources.files.footers; data: rows with their `path` and boxes. Local paths may be
+    written as URIs or not.
     """
+    plain = F.regexp_replace("path", "^file:/+", "/").alias("path")
     column = F.from_json("geo", "struct<primary_column:string,columns:map<string,struct<bbox:array<double>>>>")
-    declared = files.select("path", column.alias("g")).select("path", F.col("g.columns")[F.col("g.primary_column")].bbox.alias("declared"))
+    declared = files.select(plain, column.alias("g")).select("path", F.col("g.columns")[F.col("g.primary_column")].bbox.alias("declared"))
     b = F.col(bbox)
-    real = data.groupBy("path").agg(F.array(F.min(b.xmin), F.min(b.ymin), F.max(b.xmax), F.max(b.ymax)).alias("computed"))
+    real = data.groupBy(plain).agg(F.array(F.min(b.xmin), F.min(b.ymin), F.max(b.xmax), F.max(b.ymax)).alias("computed"))
     delta = F.zip_with("declared", "computed", lambda x, y: F.abs(x - y))
     return declared.join(real, "path", "left").select("path", "declared", "computed", delta.alias("delta"), F.array_max(delta).alias("largest"))
