@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quadrille import validate
 from quadrille.functions import boxes, curves
 from quadrille.geometry import columns as geometry
 from quadrille.operators import assign, ordering, regions, stats
 from quadrille.operators import tiles as tilesets
 from quadrille.plans.features import EXTENT, REGIONS_4, REGIONS_6, REGIONS_12, SQL, features, tiles
+from quadrille.session import shared_folder
+from quadrille.sources import files, geojson, geoparquet
 
 REGION = REGIONS_12["california"]
 WITH = f"with {SQL}"
@@ -348,6 +351,46 @@ def tile_catalog(spark, sf_dir):
     return catalog(tiles(spark), stats.summary(a, ["tile_id"]))
 
 
+@query(f"{WITH} select tile_id, count(*) as rows, min(xmin) as xmin, min(ymin) as ymin, max(xmax) as xmax, max(ymax) as ymax from {_first(HALF_OPEN, 'ordinal')} group by tile_id")
+def tiles_written(spark, sf_dir):
+    """One GeoParquet file for each tile, along a Hilbert curve; rows and bounds as the writer gathered them."""
+    f = features(spark, sf_dir).withColumn("geometry", geometry.rectangle_wkb(F.col("bbox")))
+    written = geoparquet.write_tiles(assign.assign_disjoint(f, tiles(spark)), shared_folder(spark, "tiles"), bbox="bbox")
+    return written.select("tile_id", "rows", "xmin", "ymin", "xmax", "ymax")
+
+
+def _written_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Curve-sorted files with covering boxes; a path for each, as many as partitions."""
+    f = features(spark, sf_dir).withColumn("geometry", geometry.rectangle_wkb(F.col("bbox")))
+    return [r.path for r in geoparquet.write_clustered(f, shared_folder(spark, "sorted"), partitions=4, row_group_rows=2000).collect()]
+
+
+@query(f"{WITH} select feature_id, xmin, ymin, xmax, ymax from features where xmin <= {_R['c']} and xmax >= {_R['a']} and ymin <= {_R['d']} and ymax >= {_R['b']}")
+def geoparquet_pushdown(spark, sf_dir):
+    """Written with covering boxes and read with a region, which prunes row groups."""
+    return geoparquet.read(spark, _written_files(spark, sf_dir), ["feature_id", "bbox"], REGION).select("feature_id", *_sides(F.col("bbox")))
+
+
+@query(f"{WITH} select count(*)::bigint as rows, 0::bigint as findings from features")
+def footers_and_findings(spark, sf_dir):
+    """Rows by footers alone, and findings of the validator with data checks on files just written."""
+    paths = _written_files(spark, sf_dir)
+    rows = files.footers(spark, paths).agg(F.sum("rows").alias("rows")).withColumn("_one", F.lit(1))
+    found = validate.validate(spark, paths, check_data=True).agg(F.count("*").alias("findings")).withColumn("_one", F.lit(1))
+    return rows.join(found, "_one").select("rows", "findings")
+
+
+@query(f"{WITH} select feature_id, cx as x, cy as y, cx as xmin, cy as ymin, cx as xmax, cy as ymax from features where feature_id % 10 = 0")
+def geojson_round_trip(spark, sf_dir):
+    """Points written as GeoJSON lines and read back by the incremental reader."""
+    f = features(spark, sf_dir).where("feature_id % 10 = 0").withColumn("g", geometry.to_geojson(geometry.point_wkb(F.col("cx"), F.col("cy"))))
+    folder = shared_folder(spark, "lines")
+    geojson.write_lines(geojson.feature_json(["feature_id"], F.col("g")), f, folder, "gzip")
+    flat = geojson.flatten(geojson.read(spark, files.find_files(spark, [folder], ".gz")), "feature_id long")
+    c = geometry.centroid(F.col("geometry"))
+    return flat.select("feature_id", c.x.alias("x"), c.y.alias("y"), *_sides(F.col("bbox")))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
