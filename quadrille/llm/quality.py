@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 
 #: Documents the scorer is trained on, on average (all, if there are fewer): a documented bound.
-TRAIN_ROWS = 10_000
+TRAIN_ROWS = 3_000
 #: Buckets of hashed words; words a worker remembers at once.
 BUCKETS, MOST_WORDS = 1 << 17, 500_000
 BAD, GOOD, NONE = 0, 1, 2
@@ -48,16 +48,23 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > MOST_WORDS:
             self.clear()
-        bare = EDGES.sub("", word)
+        if word.isalpha():
+            bare, odd = word, 0
+        else:
+            bare = EDGES.sub("", word)
+            odd = sum(not (c.isalnum() or c in ORDINARY_MARKS) for c in word)
         low = bare.lower()
-        odd = sum(not (c.isalnum() or c in ORDINARY_MARKS) for c in word)
         shape = STOP * (low in STOP_WORDS) | MARKED * (odd > 1 or (odd == 1 and not bare)) | CAPS * (len(bare) > 1 and bare.isupper()) | TITLE * bare.istitle()
-        shape |= DIGIT * any(c.isdigit() for c in bare) | LONG * (len(bare) > 20) | PLAIN_END * word.endswith((".", ",", "?", "!"))
+        shape |= DIGIT * (not bare.isalpha() and any(c.isdigit() for c in bare)) | LONG * (len(bare) > 20) | PLAIN_END * word.endswith((".", ",", "?", "!"))
         code = int.from_bytes(hashlib.blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") & ~(SHAPES - 1) | shape
         self[word] = code
         return code
 
 
+#: The worker's own memory of words, kept from task to task.
+_words = Words()
+
+
 @dataclass
 class Profile:
     """What labellers and scorer know of a text."""
@@ -146,7 +153,7 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def fit_scorer(profiles: list[Profile], good: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> Scorer:
+def fit_scorer(profiles: list[Profile], good: np.ndarray, rounds: int = 120, rate: float = 0.5, decay: float = 1e-4) -> Scorer:
     """Logistic regression on soft labels by Adam; the bias stays at the labels' own odds."""
     rows = np.repeat(np.arange(len(profiles)), [p.n for p in profiles])
     bucket = np.concatenate([(p.bare % np.uint64(BUCKETS)).astype(np.int64) for p in profiles])
@@ -182,9 +189,8 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
     scored_type = ", ".join(f"`{c}` {target.schema[c].dataType.simpleString()}" for c in names) + ", p_good double"
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([pattern_of(Profile.of(t, words)) for t in batch.column(0).to_pylist()], pa.int32())], names=["pattern"])
+            yield pa.RecordBatch.from_arrays([pa.array([pattern_of(Profile.of(t, _words)) for t in batch.column(0).to_pylist()], pa.int32())], names=["pattern"])
 
     found = docs.select("text").mapInArrow(votes, "pattern int").groupBy("pattern").agg(F.count("*").alias("n")).collect()
     seen = [(r.pattern, r.n) for r in found if r.pattern >= 0]
@@ -196,9 +202,8 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
     sample = docs.where(F.pmod(F.xxhash64("id", F.length("text")), F.lit(1 << 30)) < cutoff).select("text")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
-            codes = [Profile.of(t, words).codes.tobytes() for t in batch.column(0).to_pylist()]
+            codes = [Profile.of(t, _words).codes.tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.binary())], names=["codes"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,9 +225,8 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
     held = df.sparkSession.sparkContext.broadcast(scorer)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
-            p = [held.value.probability(Profile.of(t, words)) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            p = [held.value.probability(Profile.of(t, _words)) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64())], names=[*names, "p_good"])
 
     return target.mapInArrow(score, scored_type)
