@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -26,6 +27,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files and plans of finished steps, which it does as the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def slices(texts: list, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts holding about `most` characters, one text at least."""
     start, held = 0, 0
@@ -38,28 +45,25 @@ def slices(texts: list, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def even_partitions(df: DataFrame, count: int) -> DataFrame:
-    """Round-robin over `count` partitions."""
-    return df.repartition(count)
-
-
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """Connected components of undirected edges: (node, class_id), class_id the smallest node.
 
     Labels move to smaller neighbours, then jump along their own labels, until none
-    changes. Each round is two aggregations with map-side combining and equi-joins, whose
-    skewed side (a centre with many links) the adaptive planner can split. Only the count
-    of changed labels reaches the driver. Nodes without edges are not returned.
+    changes. A round is one aggregation with map-side combining and two equi-joins, whose
+    skewed side (a centre with many links) the adaptive planner can split. Only whether a
+    label changed reaches the driver. Nodes without edges are not returned.
     """
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    links = cut(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
-    labels = cut(labels)
+    # every node is its own neighbour, so that the aggregation sees its label too
+    both = F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in (("u", "v"), ("v", "u"), ("u", "u"), ("v", "v"))])
+    links = cut(ends.select(F.inline(both)).distinct())
+    labels = cut(links.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node"))
     while True:
-        near = links.join(labels, links.v == labels.node).groupBy("u").agg(F.min("label").alias("near")).withColumnRenamed("u", "node")
+        here = labels.withColumnRenamed("label", "own")
+        near = links.join(here, links.v == here.node).groupBy("u").agg(F.min("own").alias("label"), F.max(F.when(F.col("u") == F.col("v"), F.col("own"))).alias("own"))
         above = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        moved = labels.join(near, "node").join(above, "label").select("node", F.least("near", "jump", "label").alias("next"), (F.least("near", "jump") < F.col("label")).alias("moved"))
-        moved = cut(moved)
-        if moved.where("moved").isEmpty():
-            return labels.withColumnRenamed("label", "class_id")
-        labels = moved.select("node", F.col("next").alias("label"))
+        moved = near.join(above, "label").select(F.col("u").alias("node"), F.col("jump").alias("label"), (F.col("jump") < F.col("own")).alias("moved"))
+        labels = cut(moved)
+        if not labels.agg(F.max("moved")).first()[0]:
+            return labels.select("node", F.col("label").alias("class_id"))
+        labels = labels.select("node", "label")

@@ -25,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import components, cut, slices
+from quadrille.llm.common import components, cut, release, slices
 from quadrille.llm.shingles import mix, multiset, weighted_jaccard
 
-#: 32 bands of 4: a pair with similarity 0.8 is missed with probability 5e-8.
-BANDS, ROWS = 32, 4
+#: 44 bands of 6: a pair with similarity 0.8 is missed with probability 2e-6, and one with 0.5,
+#: as documents that share a passage have, is in a band's bucket with probability 0.02.
+BANDS, ROWS = 44, 6
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: Growth of the number of pivots of a bucket from round to round.
-PIVOT_GROWTH = 8
+#: Pivots of a bucket in the first rounds at most; later rounds multiply the last number by itself.
+CELLS = (1, 8, 32)
 
 
 def bag_minhashes(sets: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
@@ -165,38 +166,42 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = known.join(groups.select(*same, F.col("rep").alias("id")), [*same, "id"], "left_semi")
     # the smaller side of the exchange: one row for each text and band
     banded = firsts.select("id", "n", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    members = cut(banded.join(shared.select("key"), "key").select("key", "id", "n").dropDuplicates(["key", "id"]))
-    texts = cut(docs.where("text is not null").join(members.select("id").distinct(), "id", "left_semi"))
-    links, labels, cells = None, None, 1
-    fields = ["id", "n"]
+    shared = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("crowd")).where("low < high")
+    members = cut(banded.join(shared.select("key", "crowd"), "key").dropDuplicates(["key", "id"]))
+    # members of large buckets come first as pivots: the original of a group of copies is among them
+    first = members.groupBy("id").agg((-F.sum("crowd")).alias("first"))
+    texts = cut(docs.where("text is not null").join(first.select("id"), "id", "left_semi"))
+    fields = ["first", "id", "n", "class_id"]
+    members = members.join(first, "id").withColumn("class_id", F.col("id")).select("key", *fields)
+    links, labels, turn, joined = None, None, 0, False
     while True:
-        # one pivot for each cell of classes in a bucket meets all other members; then it leaves
-        # the bucket, so a large class with a few strangers costs each stranger one pass over it
-        cell = F.pmod(F.xxhash64(fields[-1], "key"), F.lit(cells))
-        pivots = members.groupBy("key", cell.alias("cell")).agg(F.min(F.struct(*fields)).alias("p"), F.count("*").alias("c"))
-        marks = pivots.groupBy("key").agg(F.collect_list("p").alias("ps"), F.sum("c").alias("held"))
-        met = members.join(marks, "key").withColumn("is_pivot", F.array_contains("ps.id", F.col("id")))
-        met = cut(met)
+        # a pivot for each cell of a bucket meets all members of other classes, then it leaves. First
+        # one, then a few by id, mostly of the largest class, which strangers meet cheaply; the
+        # rest is compared by cells of classes, a whole class being met by each other one
+        cell = F.pmod(F.xxhash64("id" if turn < 2 else "class_id", "key"), F.lit(CELLS[min(turn, len(CELLS) - 1)] * CELLS[-1] ** max(0, turn - len(CELLS) + 1)))
+        lowest, highest = F.min("class_id").alias("low"), F.max("class_id").alias("high")
+        pivots = members.groupBy("key", cell.alias("cell")).agg(F.min(F.struct(*fields)).alias("p"), F.count("*").alias("c"), lowest, highest)
+        marks = pivots.groupBy("key").agg(F.collect_list("p").alias("ps"), F.sum("c").alias("held"), F.min("low").alias("low"), F.max("high").alias("high"))
+        # a bucket is finished when its members are in one class
+        met = cut(members.join(marks.where("low < high").select("key", "ps", "held"), "key"))
+        if turn and not met.count():
+            break
         p = F.col("p")
-        fresh = (F.col("id") != p.id) & (F.least("n", p.n) >= least * F.greatest("n", p.n))
-        if labels is not None:
-            fresh &= F.col("class_id") != p.class_id
+        fresh = (F.col("class_id") != p.class_id) & (F.least("n", p.n) >= least * F.greatest("n", p.n))
         pairs = met.select(*fields, F.explode("ps").alias("p")).where(fresh)
         pairs = pairs.select(F.least("id", p.id).alias("b"), F.greatest("id", p.id).alias("a")).distinct()
         found = cut(verified(pairs, texts, words, least))
+        members = met.where(~F.array_contains("ps.id", F.col("id")) & (F.col("held") - F.size("ps") > 1)).select("key", *fields)
         links = found if links is None else links.unionByName(found)
-        rest = met.where(~F.col("is_pivot") & (F.col("held") - F.size("ps") > 1)).select("key", *fields)
-        if labels is None:
+        if turn < 2:
             labels = components(links)
-            rest = rest.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-            fields = ["id", "n", "class_id"]
-        several = rest.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi").select("key")
-        members = cut(rest.join(several, "key"))
-        if members.isEmpty():
-            break
-        cells *= PIVOT_GROWTH
-    if cells > 1:
+            members = members.drop("class_id").join(labels.withColumnRenamed("node", "id"), "id", "left")
+            members = members.withColumn("class_id", F.coalesce("class_id", "id")).select("key", *fields)
+        else:  # later links only add to the classes, and what they join was still compared
+            joined = joined or bool(found.count())
+        turn += 1
+        release(df.sparkSession)
+    if joined:
         labels = components(links)
     whole = known.select("id", *same).join(groups, same, "left")
     whole = whole.join(labels.select(F.col("node").alias("rep"), "class_id"), "rep", "left")
