@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadrille.functions.curves import curve_key
 
@@ -44,6 +45,16 @@ def cluster(df: DataFrame, x: str, y: str, curve: str = "hilbert", bits: int = 2
     return ranged.sortWithinPartitions(key, *(tie or []))
 
 
+def places(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Adds each row's place in the order, from 1: ranged and sorted by many tasks, not one window.
+
+    The order must be total, as the rows are counted in one job and numbered in another.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+    numbered = df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
+    return df.sparkSession.createDataFrame(numbered, schema, verifySchema=False)
+
+
 def union_promote(parts: list[DataFrame]) -> DataFrame:
     """All rows of all parts; columns that a part lacks are null."""
     out = parts[0]

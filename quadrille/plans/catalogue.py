@@ -146,7 +146,16 @@ def region_points_within(spark, sf_dir):
 @query(f"{WITH} select feature_id from features where feature_id % 10 = 0 and xmin <= {_R['c']} and xmax >= {_R['a']} and ymin <= {_R['d']} and ymax >= {_R['b']}")
 def region_intersects(spark, sf_dir):
     """Exact intersection of rectangles with a region, the region given as text."""
-    f = features(spark, sf_dir).where("feature_id % 10 = 0").withColumn("geometry", geometry.rectangle_wkb(F.col("bbox")))
+    return _region_intersects(features(spark, sf_dir).where("feature_id % 10 = 0"))
+
+
+@query(f"{WITH} select feature_id from features where xmin <= {_R['c']} and xmax >= {_R['a']} and ymin <= {_R['d']} and ymax >= {_R['b']}")
+def region_intersects_all(spark, sf_dir):
+    return _region_intersects(features(spark, sf_dir))
+
+
+def _region_intersects(f: DataFrame) -> DataFrame:
+    f = f.withColumn("geometry", geometry.rectangle_wkb(F.col("bbox")))
     return regions.query_region(f, ",".join(map(str, REGION)), points_only=False).select("feature_id")
 
 
@@ -262,6 +271,13 @@ def null_geometry_last(spark, sf_dir):
     return keyed.select("feature_id", F.row_number().over(order).cast("long").alias("place"))
 
 
+@query(f"{WITH}, {_WORLD_GRID.format(t=2**16 - 1)}, k as (select feature_id, case when feature_id % 9 = 0 then null else {_MORTON} end as zkey16 from g) select feature_id, row_number() over (order by zkey16 nulls last, feature_id) as place from k")
+def null_geometry_last_all(spark, sf_dir):
+    x, y = (F.when(F.col("feature_id") % 9 != 0, F.col(c)) for c in ("cx", "cy"))
+    keyed = curves.curve_key(features(spark, sf_dir), x, y, "zorder", 16).select("feature_id", "zkey16")
+    return ordering.places(keyed, [F.col("zkey16").asc_nulls_last(), F.col("feature_id")]).select("feature_id", "place")
+
+
 @query(f"{WITH} select feature_id, case when feature_id % 2 = 0 then cx end as cx, case when feature_id % 2 = 1 then cy end as cy from features")
 def union_promote(spark, sf_dir):
     f = features(spark, sf_dir)
@@ -309,7 +325,16 @@ def tile_grid(spark, sf_dir):
 @query(f"{WITH} select feature_id, 'Polygon' as kind, xmin, ymin, xmax, ymax, round(cx, 6) as x, round(cy, 6) as y, false as is_empty, true as is_oriented from features where feature_id % 10 = 0")
 def wkb_measures(spark, sf_dir):
     """Rectangles as WKB, measured by the geometry kernel."""
-    f = features(spark, sf_dir).where("feature_id % 10 = 0").select("feature_id", geometry.rectangle_wkb(F.col("bbox")).alias("g"))
+    return _wkb_measures(features(spark, sf_dir).where("feature_id % 10 = 0"))
+
+
+@query(f"{WITH} select feature_id, 'Polygon' as kind, xmin, ymin, xmax, ymax, round(cx, 6) as x, round(cy, 6) as y, false as is_empty, true as is_oriented from features")
+def wkb_measures_all(spark, sf_dir):
+    return _wkb_measures(features(spark, sf_dir))
+
+
+def _wkb_measures(f: DataFrame) -> DataFrame:
+    f = f.select("feature_id", geometry.rectangle_wkb(F.col("bbox")).alias("g"))
     g = F.col("g")
     m = f.select("feature_id", geometry.type_name(g).alias("kind"), geometry.bounds(g).alias("b"), geometry.centroid(g).alias("c"), geometry.is_empty(g).alias("is_empty"), geometry.well_oriented(g).alias("is_oriented"))
     return m.select("feature_id", "kind", *_sides(F.col("b")), F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"), "is_empty", "is_oriented")
@@ -318,7 +343,16 @@ def wkb_measures(spark, sf_dir):
 @query(f"{WITH} select feature_id, cx as x, cy as y, true as is_same, true as is_point from features where feature_id % 10 = 0")
 def text_round_trip(spark, sf_dir):
     """Points to WKT and GeoJSON and back."""
-    f = features(spark, sf_dir).where("feature_id % 10 = 0").withColumn("g", geometry.point_wkb(F.col("cx"), F.col("cy")))
+    return _text_round_trip(features(spark, sf_dir).where("feature_id % 10 = 0"))
+
+
+@query(f"{WITH} select feature_id, cx as x, cy as y, true as is_same, true as is_point from features")
+def text_round_trip_all(spark, sf_dir):
+    return _text_round_trip(features(spark, sf_dir))
+
+
+def _text_round_trip(f: DataFrame) -> DataFrame:
+    f = f.withColumn("g", geometry.point_wkb(F.col("cx"), F.col("cy")))
     back = f.select("feature_id", "g", geometry.from_wkt(geometry.to_wkt(F.col("g"))).alias("w"), geometry.from_geojson(geometry.to_geojson(F.col("g"))).alias("j"))
     c = geometry.centroid(F.col("w"))
     return back.select("feature_id", c.x.alias("x"), c.y.alias("y"), ((F.col("g") == F.col("w")) & (F.col("g") == F.col("j"))).alias("is_same"), geometry.is_point_type(F.col("g")).alias("is_point"))
@@ -331,6 +365,12 @@ def sort_columns(spark, sf_dir):
     return f.select("feature_id", F.row_number().over(order).cast("long").alias("place"))
 
 
+@query(f"{WITH} select feature_id, row_number() over (order by floor(cx) desc, cy, feature_id)::bigint as place from features")
+def sort_columns_all(spark, sf_dir):
+    f = features(spark, sf_dir).select("feature_id", "cy", F.floor("cx").alias("column"))
+    return ordering.places(f, ordering.order_by(ordering.sort_keys("column:desc,cy:asc,feature_id"))).select("feature_id", "place")
+
+
 @query()
 def partition_tiles(spark, sf_dir):
     """Boxes of the splitter over a sample of centroids."""
@@ -383,7 +423,16 @@ def footers_and_findings(spark, sf_dir):
 @query(f"{WITH} select feature_id, cx as x, cy as y, cx as xmin, cy as ymin, cx as xmax, cy as ymax from features where feature_id % 10 = 0")
 def geojson_round_trip(spark, sf_dir):
     """Points written as GeoJSON lines and read back by the incremental reader."""
-    f = features(spark, sf_dir).where("feature_id % 10 = 0").withColumn("g", geometry.to_geojson(geometry.point_wkb(F.col("cx"), F.col("cy"))))
+    return _geojson_round_trip(spark, features(spark, sf_dir).where("feature_id % 10 = 0"))
+
+
+@query(f"{WITH} select feature_id, cx as x, cy as y, cx as xmin, cy as ymin, cx as xmax, cy as ymax from features")
+def geojson_round_trip_all(spark, sf_dir):
+    return _geojson_round_trip(spark, features(spark, sf_dir))
+
+
+def _geojson_round_trip(spark: SparkSession, f: DataFrame) -> DataFrame:
+    f = f.withColumn("g", geometry.to_geojson(geometry.point_wkb(F.col("cx"), F.col("cy"))))
     folder = shared_folder(spark, "lines")
     geojson.write_lines(geojson.feature_json(["feature_id"], F.col("g")), f, folder, "gzip")
     flat = geojson.flatten(geojson.read(spark, files.find_files(spark, [folder], ".gz")), "feature_id long")
