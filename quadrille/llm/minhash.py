@@ -32,8 +32,11 @@ from quadrille.llm.shingles import mix, multiset, weighted_jaccard
 #: as documents that share a passage have, is in a band's bucket with probability 0.02.
 BANDS, ROWS = 44, 6
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: Pivots of a bucket in the first rounds at most; later rounds multiply the last number by itself.
+#: Pivots of a bucket in the first rounds at most; later rounds have 32 times as many: 4 times the
+#: cells of classes, each with 8 times the cells of ids, so that large classes give several pivots too.
 CELLS = (1, 8, 32)
+#: Neither number grows beyond this: buckets are smaller.
+MOST_CELLS = 1 << 30
 
 
 def bag_minhashes(sets: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
@@ -177,10 +180,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     while True:
         # a pivot for each cell of a bucket meets all members of other classes, then it leaves. First
         # one, then a few by id, mostly of the largest class, which strangers meet cheaply; the
-        # rest is compared by cells of classes, a whole class being met by each other one
-        cell = F.pmod(F.xxhash64("id" if turn < 2 else "class_id", "key"), F.lit(CELLS[min(turn, len(CELLS) - 1)] * CELLS[-1] ** max(0, turn - len(CELLS) + 1)))
+        # rest is compared by cells of classes, a whole class being met by each other one, and
+        # classes that stay large by more and more of their ids at once
+        late = max(0, turn - len(CELLS) + 1)
+        cell = F.pmod(F.xxhash64("id" if turn < 2 else "class_id", "key"), F.lit(min(CELLS[min(turn, len(CELLS) - 1)] * 4**late, MOST_CELLS)))
+        part = F.pmod(F.xxhash64("key", "id"), F.lit(min(8**late, MOST_CELLS)))
         lowest, highest = F.min("class_id").alias("low"), F.max("class_id").alias("high")
-        pivots = members.groupBy("key", cell.alias("cell")).agg(F.min(F.struct(*fields)).alias("p"), F.count("*").alias("c"), lowest, highest)
+        pivots = members.groupBy("key", cell.alias("cell"), part.alias("part")).agg(F.min(F.struct(*fields)).alias("p"), F.count("*").alias("c"), lowest, highest)
         marks = pivots.groupBy("key").agg(F.collect_list("p").alias("ps"), F.sum("c").alias("held"), F.min("low").alias("low"), F.max("high").alias("high"))
         # a bucket is finished when its members are in one class
         met = cut(members.join(marks.where("low < high").select("key", "ps", "held"), "key"))

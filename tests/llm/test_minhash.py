@@ -91,3 +91,18 @@ def test_classes_equal_brute_force(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_unlinked_families_in_one_bucket_end(spark):
+    rng = random.Random(11)
+    shared = [f"p{k}" for k in range(300)]
+    rows = []
+    for family in "ab":
+        own = shared + [f"{family}{k}" for k in range(60)]
+        for k in range(50):
+            rows.append((len(rows), " ".join([*own[: 300 + k % 3], f"{family}x{rng.randrange(10**9)}", *own[301 + k % 3 :]])))
+    a, b = (brute_shingles(rows[k][1]) for k in (0, 50))
+    assert 0.5 < sum((a & b).values()) / sum((a | b).values()) < 0.8
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_duplicates(df, bands=6, rows=1).collect()}
+    assert got == brute_classes(rows) == {i: i // 50 * 50 for i in range(100)}
