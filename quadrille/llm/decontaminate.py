@@ -4,8 +4,9 @@ Words become template tokens: numbers, units and names (capitalised words inside
 sentence) turn into typed placeholders, all others into their lower-case letters. Windows
 of template tokens of the corpus are hash-joined to those of the benchmark. Windows that
 lie on one diagonal (document position minus item position) are one occurrence; their
-slots must be consistent, each benchmark value standing for one document value and the
-other way round, which tells a re-parameterised question from an accidental match.
+changed slots must be consistent, each benchmark value standing for one document value and
+the other way round, which tells a re-parameterised question from an accidental match. Where
+they are not, windows without changed slots count by themselves if they cover two windows.
 """
 
 from __future__ import annotations
@@ -176,13 +177,17 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     found = corpus_windows(docs, sizes, wanted).distinct()
     met = found.join(sought, ["hash", "size"])
     pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(F.regexp_replace(x.item_slots, r"^\d+:", "").alias("item"), F.regexp_replace(x.slots, r"^\d+:", "").alias("doc")))
-    runs = met.groupBy("id", "item_id", (F.col("start") - F.col("item_start")).alias("diagonal")).agg(
-        F.count("*").alias("windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
+    # values that stayed are evidence whatever became of their equals; only changed ones must be one to one
+    changed = F.filter(pairs, lambda x: x.item != x.doc)
+    met = met.select("id", "item_id", "start", (F.col("start") - F.col("item_start")).alias("diagonal"), changed.alias("changed"))
+    runs = met.groupBy("id", "item_id", "diagonal").agg(
+        F.count_distinct("start").alias("windows"), F.count_distinct(F.when(F.size("changed") == 0, F.col("start"))).alias("same"), F.array_distinct(F.flatten(F.collect_set("changed"))).alias("pairs")
     )
     one_way = lambda side: F.size(F.array_distinct(F.col(f"pairs.{side}"))) == F.size("pairs")
-    good = runs.where(one_way("item") & one_way("doc"))
-    exact = F.forall("pairs", lambda x: x.item == x.doc)
-    return good.groupBy("id", "item_id").agg(F.max("windows").alias("windows"), F.max(exact).alias("is_exact")).withColumnRenamed("id", id_col)
+    whole = one_way("item") & one_way("doc")
+    # more unchanged windows than one has tokens: two whole windows are verbatim, which needs no mapping
+    good = runs.where(whole | (F.col("same") > window)).withColumn("windows", F.when(whole, F.col("windows")).otherwise(F.col("same")))
+    return good.groupBy("id", "item_id").agg(F.max("windows").alias("windows"), F.max(F.size("pairs") == 0).alias("is_exact")).withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,3 +31,18 @@ def test_templates_and_slots(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5, 7, 9]
     assert find_leaks(df.limit(0), bench).count() == 0
     assert find_leaks(df, bench.limit(0)).count() == 0
+
+
+def test_equal_values_of_which_one_changed(spark):
+    sum_item = "add the value 3 to this running total and then take the same value 3 away from it again"
+    long_item = "take 3 apples from the basket near the door " + " ".join(f"v{i}" for i in range(200)) + " and put 3 apples into the basket near the window"
+    rows = [
+        (0, FILL + " " + sum_item.replace("3 away", "4 away") + " " + FILL),
+        (1, FILL + " " + long_item.replace("take 3", "take 5").replace("put 3", "put 6") + " " + FILL),
+        (2, FILL + " " + sum_item.replace("value 3 to", "value 5 to").replace("3 away", "6 away") + " " + FILL),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, sum_item), (2, long_item)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.is_exact for r in find_leaks(df, bench).collect()}
+    # two values for one, and no stretch of two windows between them: another question
+    assert got == {(0, 1): False, (1, 2): False}
