@@ -60,9 +60,9 @@ class Words(dict):
         if not kept:
             code = flags | EMPTY
         elif NUMBER.fullmatch(bare) or bare.lower() in NUMBER_WORDS:
-            code = flags | NUM
+            code = _hash(kept.lower()) | flags | NUM
         elif kept.lower() in UNITS:
-            code = flags | UNIT
+            code = _hash(kept.lower()) | flags | UNIT
         else:
             capital = kept[:1].isupper() and kept[1:].islower()
             code = _hash(kept.lower()) | flags | (CAPITAL if capital else 0)
@@ -73,8 +73,8 @@ class Words(dict):
 PLACEHOLDERS = np.array([0] + [_hash(x) for x in ("<number>", "<unit>", "<name>")], np.uint64)
 
 
-def template(words: list[str], codes: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes, kinds, and the word numbers of the tokens; words of marks alone are no token."""
+def template(words: list[str], codes: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template and raw token hashes, kinds, and the word numbers of the tokens; words of marks alone are no token."""
     code = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
     flags = (code & MASK).astype(np.int8)
     place = np.flatnonzero(flags & EMPTY == 0)
@@ -84,19 +84,22 @@ def template(words: list[str], codes: Words) -> tuple[np.ndarray, np.ndarray, np
     kinds = flags[place] & 3
     name = (flags[place] & CAPITAL != 0) & ~ends[:-1][place] & (kinds == LITERAL)
     kinds[name] = NAME
-    return np.where(kinds == LITERAL, code[place] & ~MASK, PLACEHOLDERS[kinds]), kinds, place
+    raw = code[place] & ~MASK
+    return np.where(kinds == LITERAL, raw, PLACEHOLDERS[kinds]), raw, kinds, place
 
 
-def windows(tokens: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows of `size` tokens with enough literals."""
+def windows(tokens: np.ndarray, kinds: np.ndarray | None, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows of `size` tokens with enough literals; of all raw windows if kinds is None."""
     count = len(tokens) - size + 1
     if count <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        total = np.full(count, size, np.uint64)
+        total = np.full(count, size if kinds is not None else -size & 0xFFFFFFFF, np.uint64)
         for k in range(size):
             total *= np.uint64(0x9E3779B97F4A7C15)
             total += tokens[k : k + count]
+        if kinds is None:
+            return np.arange(count), mix(total)
         sums = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
         starts = np.flatnonzero(sums[size:] - sums[:-size] >= LITERAL_SHARE * size)
         return starts, mix(total[starts])
@@ -107,11 +110,15 @@ def slots(words: list[str], kinds: np.ndarray, place: np.ndarray, start: int, si
     return [f"{k}:{EDGES.sub('', words[place[start + k]]).lower()}" for k in range(size) if kinds[start + k] != LITERAL]
 
 
-WINDOW_ROW = "hash long, start int, size int, slots array<string>"
+WINDOW_ROW = "hash long, start int, size int, raw boolean, slots array<string>"
 
 
-def corpus_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """(id, hash, start, size, slots) of the windows whose hash is wanted (all if None)."""
+def corpus_windows(docs: DataFrame, sizes: list[tuple[int, bool]], wanted: np.ndarray | None, least: int = LEAST) -> DataFrame:
+    """(id, hash, start, size, raw, slots) of the windows whose hash is wanted (all if None).
+
+    Sizes come with whether the window is raw: of lower-case tokens as they are, without slots. A
+    raw window of fewer than `least` tokens is a whole text.
+    """
     context = docs.sparkSession.sparkContext
     held = context.broadcast(wanted) if wanted is not None else None
     schema = f"id {docs.schema[0].dataType.simpleString()}, {WINDOW_ROW}"
@@ -123,27 +130,29 @@ def corpus_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None)
             table = np.zeros(1 << 22, bool)
             table[known >> np.uint64(42)] = True
         for batch in batches:
-            row, hashes, starts, lengths, values = [], [], [], [], []
+            row, hashes, starts, lengths, raws, values = [], [], [], [], [], []
 
             def flush(column=batch.column(0)) -> pa.RecordBatch:
-                out = [column.take(pa.array(row, pa.int64())), pa.array(np.array(hashes, np.uint64).astype(np.int64)), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(values, pa.list_(pa.string()))]
-                for x in (row, hashes, starts, lengths, values):
+                out = [column.take(pa.array(row, pa.int64())), pa.array(np.array(hashes, np.uint64).astype(np.int64)), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(raws, pa.bool_()), pa.array(values, pa.list_(pa.string()))]
+                for x in (row, hashes, starts, lengths, raws, values):
                     x.clear()
-                return pa.RecordBatch.from_arrays(out, names=["id", "hash", "start", "size", "slots"])
+                return pa.RecordBatch.from_arrays(out, names=["id", "hash", "start", "size", "raw", "slots"])
 
             for i, text in enumerate(batch.column(1).to_pylist()):
                 words = (text or "").split()
-                tokens, kinds, place = template(words, codes)
-                for size in sizes:
-                    start, value = windows(tokens, kinds, size)
+                tokens, plain, kinds, place = template(words, codes)
+                for size, raw in sizes:
+                    if size < least and len(tokens) != size:
+                        continue
+                    start, value = windows(plain, None, size) if raw else windows(tokens, kinds, size)
                     if held is not None:
                         near = np.flatnonzero(table[value >> np.uint64(42)])
                         at = np.searchsorted(known, value[near])
                         near = near[known[np.minimum(at, len(known) - 1)] == value[near]]
                         start, value = start[near], value[near]
                     for s, h in zip(start.tolist(), value.tolist()):
-                        row.append(i), hashes.append(h), starts.append(s), lengths.append(size)
-                        values.append(slots(words, kinds, place, s, size))
+                        row.append(i), hashes.append(h), starts.append(s), lengths.append(size), raws.append(raw)
+                        values.append([] if raw else slots(words, kinds, place, s, size))
                 if len(row) > 50_000:
                     yield flush()
             yield flush()
@@ -154,28 +163,29 @@ def corpus_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None)
 def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, least: int = LEAST) -> DataFrame:
     """(id, item_id, windows, is_exact) for every document and benchmark item that it holds.
 
-    Null and short texts hold nothing, and items of fewer than `least` tokens are not
-    searched; rows with one id (or without) are judged together; other columns are not
+    Null texts hold nothing. Raw windows find verbatim copies of every item, whatever its share
+    of literals; items of fewer than `least` tokens are found where they are the whole text,
+    and not searched in longer ones; rows with one id (or without) are judged together; other columns are not
     read; empty tables give an empty result. Long texts are searched whole.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"))
-    small = list(range(least, window + 1))
-    sized = cut(corpus_windows(items, small, None))
+    small = [(size, False) for size in range(least, window + 1)] + [(size, True) for size in range(1, window + 1)]
+    sized = cut(corpus_windows(items, small, None, least))
     # a short item is searched by the window that is as long as it is
-    longest = sized.groupBy("id").agg(F.max("size").alias("size"))
-    sought = cut(sized.join(longest, ["id", "size"]).select(F.col("id").alias("item_id"), "hash", F.col("start").alias("item_start"), "size", F.col("slots").alias("item_slots")).distinct())
+    longest = sized.groupBy("id", "raw").agg(F.max("size").alias("size"))
+    sought = cut(sized.join(longest, ["id", "raw", "size"]).select(F.col("id").alias("item_id"), "hash", F.col("start").alias("item_start"), "size", "raw", F.col("slots").alias("item_slots")).distinct())
     hashes = sought.select("hash").distinct()
     wanted = None
     if hashes.count() <= FILTER_HASHES:
         wanted = np.sort(np.array([r[0] for r in hashes.collect()], np.int64).astype(np.uint64))
-    sizes = sorted(r[0] for r in sought.select("size").distinct().collect())
+    sizes = sorted((r[0], r[1]) for r in sought.select("size", "raw").distinct().collect())
     if not sizes:
         kinds = [(id_col, docs.schema["id"].dataType), ("item_id", items.schema["id"].dataType)]
         none = T.StructType([T.StructField(n, t) for n, t in [*kinds, ("windows", T.LongType()), ("is_exact", T.BooleanType())]])
         return docs.sparkSession.createDataFrame([], none)
-    found = corpus_windows(docs, sizes, wanted).distinct()
-    met = found.join(sought, ["hash", "size"])
+    found = corpus_windows(docs, sizes, wanted, least).distinct()
+    met = found.join(sought, ["hash", "size", "raw"])
     pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(F.regexp_replace(x.item_slots, r"^\d+:", "").alias("item"), F.regexp_replace(x.slots, r"^\d+:", "").alias("doc")))
     # values that stayed are evidence whatever became of their equals; only changed ones must be one to one
     changed = F.filter(pairs, lambda x: x.item != x.doc)

@@ -46,3 +46,20 @@ def test_equal_values_of_which_one_changed(spark):
     got = {(r.doc_id, r.item_id): r.is_exact for r in find_leaks(df, bench).collect()}
     # two values for one, and no stretch of two windows between them: another question
     assert got == {(0, 1): False, (1, 2): False}
+
+
+def test_verbatim_copies_of_items_with_few_literals(spark):
+    items = [
+        (1, "What is 12 + 7 - 3 + 4 * 5 ?"),
+        (2, "Ada Lovelace, Charles Babbage, Alan Turing, Grace Hopper, Kurt Goedel"),
+        (3, "12 km 5 kg 7 m 20 mm 3 h 9 min"),
+        (4, "2 plus 2 ?"),
+        (5, "Seven Plain Words Make This Item"),
+    ]
+    rows = [(k, FILL + " " + t + " " + FILL) for k, t in items] + [(10 + k, t) for k, t in items]
+    rows += [(20, FILL + " what is 12 + 8 - 3 + 4 * 5 ? " + FILL), (21, "2 plus 3 ?")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.is_exact for r in find_leaks(df, bench).collect()}
+    # four tokens in a longer text are no evidence, the same four as a whole text are
+    assert got == {(k, k): True for k in (1, 2, 3, 5)} | {(10 + k, k): True for k in range(1, 6)}
