@@ -8,6 +8,8 @@ and no row of the corpus is shuffled.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,98 @@ For more information, please refer to <https://unlicense.org/>""",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
 }
+# Lines that usually stand above these texts.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "(The MIT License)", "MIT/Expat License", "Expat License", "License: MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC", "License: ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD 0-Clause License", "The Zero-Clause BSD License", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "2-Clause BSD License", "BSD-2-Clause", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "FreeBSD License", "BSD License", "The BSD License", "(The BSD License)"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "3-Clause BSD License", "BSD-3-Clause", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "The New BSD License", "Revised BSD License", "Modified BSD License", "BSD License", "The BSD License", "(The BSD License)"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+# Other usual wordings of one text, each replaced by itself or by another.
+WORDINGS = {
+    "MIT": (("this permission notice shall", "this permission notice (including the next paragraph) shall"),),
+    "ISC": (("modify, and/or distribute", "modify, and distribute"), ("modify, and/or distribute", "modify and distribute")),
+    "0BSD": (("modify, and/or distribute", "modify, and distribute"),),
+    "Unlicense": (("unlicense.org/", "unlicense.org"), ("https://unlicense.org/", "http://unlicense.org/")),
+}
+#: How items of a list are marked; marks that are no letters or digits do not count.
+LISTS = ("123", ("", "", ""), "abc", ("i", "ii", "iii"))
+
+
+def variants(license: str) -> list[str]:
+    """The known text with its usual titles, list marks and wordings, itself included."""
+    body = KNOWN[license]
+    bodies = [body, *(body.replace(old, new) for old, new in WORDINGS.get(license, ()))]
+    marked = [re.sub(r"(?m)^([123])\. ", lambda m: f"{marks[int(m[1]) - 1]} ", b) for b in bodies for marks in LISTS]
+    return [f"{title}\n\n{b}" for b in dict.fromkeys([*bodies, *marked]) for title in ("", *TITLES.get(license, ()))]
+
+
+# SHA-256 of the canonical forms of full licence texts, with and without what follows their
+# terms, with http and https links. Taken from the texts that Debian ships in /usr/share/common-licenses.
+FULL_TEXTS = {
+    "Apache-2.0": (
+        "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40",
+        "4d82b1bff1ec74deb3a29bbe890a43fcd5d6d11ae4b24b20d2c0ef74a1b12809",
+        "4db164cc277b72e3d03f4161513c53b32de1cf3a402162a025e00d038383a74f",
+        "824065d72ca31b7c727341396be4cf76f464b15d9bef680a3638007ce92a009f",
+        "b93faad605f4e5d56d92cb01789c993887913c893e441b2305b4f880a9cead93",
+        "ef36af97727268b60fb709836c24580bed9887f649dba6f0fd9ef4b18232fd25",
+    ),
+    "Artistic-1.0-Perl": (
+        "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",
+    ),
+    "CC0-1.0": (
+        "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e",
+    ),
+    "GFDL-1.2": (
+        "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b",
+        "1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f",
+    ),
+    "GFDL-1.3": (
+        "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d",
+        "7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7",
+    ),
+    "GPL-1.0": (
+        "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc",
+        "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70",
+        "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+    ),
+    "GPL-2.0": (
+        "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808",
+        "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34",
+        "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    ),
+    "GPL-3.0": (
+        "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191",
+        "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68",
+        "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636",
+        "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+    ),
+    "LGPL-2.0": (
+        "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2",
+        "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260",
+        "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    ),
+    "LGPL-2.1": (
+        "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4",
+        "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+        "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df",
+    ),
+    "LGPL-3.0": (
+        "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    ),
+    "MPL-1.1": (
+        "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986",
+        "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6",
+    ),
+    "MPL-2.0": (
+        "4019e4c8fe9ede57c538b37b3332dc097a88c163e273bb6905d38316e63c2eb6",
+        "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d",
+    ),
+}
 # Spellings that licence matching treats as equal, applied in this order.
 EQUIVALENT = (
     ("licence", "license"),
@@ -96,9 +190,13 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
-    """(digest, license) of the known texts, through the same canonical form."""
-    texts = spark.createDataFrame(list((KNOWN if known is None else known).items()), "license string, body string")
-    return texts.select(F.sha2(canonical(F.col("body")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    """(digest, license) of the known texts, through the same canonical form; by default with variants and full texts."""
+    listed = [(k, v) for k in KNOWN for v in variants(k)] if known is None else list(known.items())
+    texts = spark.createDataFrame(listed, "license string, body string")
+    digests = texts.select(F.sha2(canonical(F.col("body")), 256).alias("digest"), "license")
+    if known is None:
+        digests = digests.unionByName(spark.createDataFrame([(d, k) for k, v in FULL_TEXTS.items() for d in v], "digest string, license string"))
+    return digests.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] | None = None) -> DataFrame:
