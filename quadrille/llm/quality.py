@@ -9,6 +9,7 @@ scorer is then trained on the posteriors of a bounded sample and scores every do
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,8 +27,9 @@ BUCKETS, MOST_WORDS = 1 << 17, 500_000
 BAD, GOOD, NONE = 0, 1, 2
 #: Words of a text at which its evidence counts half in the scorer.
 SHRINK = 16
-#: Probability of good below which a document is rejected; without evidence it is the share of good ones.
-LEAST = 0.75
+#: Log-odds of a document's own evidence below which it is rejected: two to one for bad. The share of good
+#: documents is left out, so that a document with little evidence is not judged by the others.
+LEAST = -math.log(2)
 
 # Frequent words of the languages at hand, and marks of ordinary prose.
 STOP_WORDS = frozenset(
@@ -145,12 +147,12 @@ class Scorer:
     repeats: float
     bias: float
 
-    def probability(self, profile: Profile) -> float:
+    def evidence(self, profile: Profile) -> float:
+        """Log-odds of good by the text alone; minus infinity without words."""
         if not profile.n:
-            return 0.0
+            return -math.inf
         bucket = (profile.bare % np.uint64(BUCKETS)).astype(np.int64)
-        z = self.bias + profile.weight * (float(self.words[bucket].mean()) + float(self.shapes @ profile.shape_share) + self.repeats * profile.repeats)
-        return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+        return profile.weight * (float(self.words[bucket].mean()) + float(self.shapes @ profile.shape_share) + self.repeats * profile.repeats)
 
 
 def fit_scorer(profiles: list[Profile], good: np.ndarray, rounds: int = 120, rate: float = 0.5, decay: float = 1e-4) -> Scorer:
@@ -177,16 +179,17 @@ def fit_scorer(profiles: list[Profile], good: np.ndarray, rounds: int = 120, rat
 
 
 def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, carry: list[str] | None = None) -> DataFrame:
-    """(id or the `carry` columns, p_good) for every row.
+    """(id or the `carry` columns, p_good, evidence) for every row.
 
-    Null and wordless texts have p_good 0. Null and repeated ids pass through, repeated
+    evidence is the log-odds of good by the text alone, p_good adds the share of good documents.
+    Null and wordless texts have p_good 0 and evidence minus infinity. Null and repeated ids pass through, repeated
     texts score alike, other columns are not read; an empty table gives an empty result. All
     words of a text count, however long it is.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     names = [id_col] if carry is None else carry
     target = df.select(*names, F.col(text_col).alias("_text"))
-    scored_type = ", ".join(f"`{c}` {target.schema[c].dataType.simpleString()}" for c in names) + ", p_good double"
+    scored_type = ", ".join(f"`{c}` {target.schema[c].dataType.simpleString()}" for c in names) + ", p_good double, evidence double"
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +198,7 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
     found = docs.select("text").mapInArrow(votes, "pattern int").groupBy("pattern").agg(F.count("*").alias("n")).collect()
     seen = [(r.pattern, r.n) for r in found if r.pattern >= 0]
     if not seen:
-        return target.select(*names, F.lit(0.0).alias("p_good"))
+        return target.select(*names, F.lit(0.0).alias("p_good"), F.lit(-math.inf).alias("evidence"))
     patterns, counts = (np.array(x, np.int64) for x in zip(*sorted(seen)))
     posterior = dict(zip(patterns.tolist(), estimate(patterns, counts)[0].tolist()))
     cutoff = int(min(1.0, train_rows / counts.sum()) * (1 << 30))
@@ -226,17 +229,18 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = [held.value.probability(Profile.of(t, _words)) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64())], names=[*names, "p_good"])
+            z = np.array([held.value.evidence(Profile.of(t, _words)) for t in batch.column(batch.num_columns - 1).to_pylist()], float)
+            p = np.where(np.isinf(z), 0.0, 1 / (1 + np.exp(-np.clip(held.value.bias + z, -50, 50))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64()), pa.array(z, pa.float64())], names=[*names, "p_good", "evidence"])
 
     return target.mapInArrow(score, scored_type)
 
 
 def drop_low_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, **options) -> DataFrame:
     """The rows and columns of df that the classifier does not reject."""
-    return classify(df, id_col, text_col, carry=df.columns, **options).where(F.col("p_good") >= least).select(df.columns)
+    return classify(df, id_col, text_col, carry=df.columns, **options).where(F.col("evidence") >= least).select(df.columns)
 
 
 def op4_weak_label_quality(spark, sf_dir: str) -> DataFrame:
     found = classify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "p_good", (F.col("p_good") < LEAST).alias("is_rejected"))
+    return found.select("doc_id", "p_good", (F.col("evidence") < LEAST).alias("is_rejected"))

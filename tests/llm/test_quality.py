@@ -56,3 +56,16 @@ def test_classifier(spark):
     kept = drop_low_quality(df)
     assert kept.columns == df.columns and 480 < kept.count() < 520
     assert classify(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("share", [1 / 3, 1 / 2])
+def test_short_clean_documents_stay_whatever_the_others_are(spark, share):
+    rng = random.Random(4)
+    count = 600
+    bad = int(count * share)
+    rows = [(i, junk(rng, rng.randint(60, 300)) if i < bad else prose(rng, rng.randint(60, 300))) for i in range(count)]
+    short = {1000: "tomorrow", 1001: "river", 1002: "over the hills", 1003: "Yes, of course."}
+    df = spark.createDataFrame(rows + list(short.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in drop_low_quality(df).collect()}
+    assert set(short) <= kept
+    assert len([i for i in range(bad) if i in kept]) <= 3 and len([i for i in range(bad, count) if i not in kept]) <= 3
