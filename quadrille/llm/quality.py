@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 
 #: Documents the scorer is trained on, on average (all, if there are fewer): a documented bound.
-TRAIN_ROWS = 3_000
+TRAIN_ROWS = 10_000
 #: Buckets of hashed words; words a worker remembers at once.
 BUCKETS, MOST_WORDS = 1 << 17, 500_000
 BAD, GOOD, NONE = 0, 1, 2
@@ -155,7 +155,7 @@ class Scorer:
         return profile.weight * (float(self.words[bucket].mean()) + float(self.shapes @ profile.shape_share) + self.repeats * profile.repeats)
 
 
-def fit_scorer(profiles: list[Profile], good: np.ndarray, rounds: int = 120, rate: float = 0.5, decay: float = 1e-4) -> Scorer:
+def fit_scorer(profiles: list[Profile], good: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> Scorer:
     """Logistic regression on soft labels by Adam; the bias stays at the labels' own odds."""
     rows = np.repeat(np.arange(len(profiles)), [p.n for p in profiles])
     bucket = np.concatenate([(p.bare % np.uint64(BUCKETS)).astype(np.int64) for p in profiles])

@@ -1,9 +1,10 @@
+import inspect
 import random
 
 import numpy as np
 import pytest
 
-from quadrille.llm.quality import LABELLERS, Profile, Words, classify, drop_low_quality, estimate, pattern_of
+from quadrille.llm.quality import LABELLERS, TRAIN_ROWS, Profile, Words, classify, drop_low_quality, estimate, fit_scorer, pattern_of
 
 STOPS = "the of and to in that was is it for".split()
 
@@ -69,3 +70,7 @@ def test_short_clean_documents_stay_whatever_the_others_are(spark, share):
     kept = {r.doc_id for r in drop_low_quality(df).collect()}
     assert set(short) <= kept
     assert len([i for i in range(bad) if i in kept]) <= 3 and len([i for i in range(bad, count) if i not in kept]) <= 3
+
+
+def test_training_is_not_cut():
+    assert inspect.signature(fit_scorer).parameters["rounds"].default == 300 and TRAIN_ROWS == 10_000
