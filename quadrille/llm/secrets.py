@@ -57,6 +57,7 @@ MOST_LITERALS = 64
 def trigram_query(pattern: str) -> list:
     """Conjunction of disjunctions of conjunctions: [[{trigram}]]; [] if nothing is mandatory."""
     clauses: list[list[frozenset[str]]] = []
+    gaps = 0  # parts met so far after which literals begin anew
 
     def flush(literals: set[str]) -> None:
         options = {frozenset(x[i : i + 3] for i in range(len(x) - 2)) for x in literals}
@@ -65,6 +66,7 @@ def trigram_query(pattern: str) -> list:
 
     def follow(items, literals: set[str]) -> set[str]:
         """The literal strings, of those before `items` and of its own, that end where it ends."""
+        nonlocal gaps
         for op, arg in items:
             step: set[str] | None = None
             if op is kinds.LITERAL:
@@ -89,24 +91,22 @@ def trigram_query(pattern: str) -> list:
                 literals = {x + y for x in literals for y in step}
                 continue
             flush(literals)
+            gaps += 1
             literals = {""} if step is None else step
         return literals
 
     def exact(items) -> set[str] | None:
         """The strings of a part made of literals only."""
         nonlocal clauses
-        outer, clauses = clauses, []
-        found, broken = follow(items, {""}), bool(clauses) or any(x[0] not in LITERAL_PARTS for x in items)
+        outer, clauses, before = clauses, [], gaps
+        found = follow(items, {""})
         clauses = outer
-        return None if broken else found
+        return None if gaps > before else found
 
     flush(follow(parser.parse(pattern), {""}))
     return clauses
 
 
-LITERAL_PARTS = (kinds.LITERAL, kinds.SUBPATTERN, kinds.BRANCH, kinds.IN, kinds.MAX_REPEAT, kinds.MIN_REPEAT, kinds.AT)
-
-
 class Scanner:
     """Compiled rules with their trigram queries."""
 

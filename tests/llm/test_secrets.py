@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quadrille.llm.secrets import BASE_RULES, RULES, Scanner, redact_secrets, scan_secrets, trigram_query
+from quadrille.llm.secrets import BASE_RULES, RULES, Rule, Scanner, redact_secrets, scan_secrets, trigram_query
 
 TEXTS = [
     None,
@@ -51,3 +51,10 @@ def test_operator_on_nulls_repeats_and_clashing_columns(spark):
     assert clean.where(F.col("text").contains("hunter2")).count() == 0
     assert clean.where(F.col("text").isNull()).count() == 1
     assert [r.least for r in BASE_RULES] == [12, 18, 16]
+
+
+def test_groups_without_literals_part_the_literals():
+    patterns = ["foo([0-9]+)bar", "ab[0-9]?cd", "AB[0-9]{4}CD", "key(?:[a-f]|[0-9])end", "x(a|b.)y(z[0-9]*)wvu", "(abc(d[ef]g)+)hij", "pre([ab][ab][ab][ab][ab][ab][ab])post"]
+    rules = tuple(Rule(str(k), p) for k, p in enumerate(patterns))
+    texts = ["foo123bar", "ab7cd abcd", "AB1234CD", "keyaend key7end", "xbqyz12wvu xayzwvu", "abcdegdfghij", "preabababapost", "foobar abcd ABCD keyend"]
+    assert Scanner(rules).scan(texts) == [brute(t, rules) for t in texts]
