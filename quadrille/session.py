@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,6 +28,10 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below the one that the cluster shares; below a temporary one where it names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quadrille-")
+    """A new folder's URI below the one that the cluster shares; below a temporary one where a local master names none."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="quadrille-")
     return f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/{name}-{uuid.uuid4().hex}"
