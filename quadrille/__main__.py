@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import json
+import pathlib
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,13 +46,13 @@ def parser() -> argparse.ArgumentParser:
     own = command("catalog", "index", "tiles", "out")
     own.add_argument("--strict", action="store_true")
     own = command("query", "input", "out")
-    own.add_argument("--region", required=True), own.add_argument("--columns"), own.add_argument("--any-geometry", action="store_true"), own.add_argument("--index")
+    own.add_argument("--region"), own.add_argument("--region-file"), own.add_argument("--field"), own.add_argument("--value"), own.add_argument("--columns"), own.add_argument("--any-geometry", action="store_true"), own.add_argument("--index")
     own = command("convert", "input", "out")
     own.add_argument("--order", choices=("z", "hilbert"), default="hilbert"), own.add_argument("--bits", type=int, default=24), own.add_argument("--row-group-size", type=int, default=100_000), own.add_argument("--keep"), own.add_argument("--to", choices=("geoparquet", "geojson"), default="geoparquet")
     own = command("slice", "input", "out")
     own.add_argument("--bbox", required=True), own.add_argument("--indent", type=int), own.add_argument("--coord-order", choices=("xy", "yx"), default="xy"), own.add_argument("--name")
     own = command("validate", "input")
-    own.add_argument("--check-data", action="store_true")
+    own.add_argument("--check-data", action="store_true"), own.add_argument("--schema")
     command("count", "input")
     return top
 
@@ -85,7 +87,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         tiles = read_tiles(spark, args.index) if args.index else None
         if tiles is not None and "tile_id" not in df.columns:
             df = df.withColumn("tile_id", F.regexp_extract("_metadata.file_name", r"^(.*?)\.", 1))
-        out = regions.query_region(df, args.region, tiles, args.geometry, points_only=not args.any_geometry, columns=args.columns.split(",") if args.columns else None)
+        if not args.region and not args.region_file:
+            raise ValueError("a region or a region file is needed")
+        region = args.region or regions.region_from_file(spark, args.region_file, args.field, args.value)
+        out = regions.query_region(df, region, tiles, args.geometry, points_only=not args.any_geometry, columns=args.columns.split(",") if args.columns else None)
         print(f"{geoparquet.write_files(out, args.out, args.geometry, names='part-{part}.parquet').agg(F.sum('rows')).first()[0] or 0} rows")
     elif args.command == "convert":
         df = load(spark, args.input, args.geometry).drop("_key")
@@ -101,10 +106,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         geojson.write_lines("feature", kept, f"{args.out}.lines")
         print(f"{geojson.collect_collection(spark, f'{args.out}.lines', args.out, args.indent, args.name)} features")
     elif args.command == "validate":
-        found = checks.validate(spark, files.find_files(spark, [args.input]), args.check_data).collect()
-        for row in found:
+        schema = json.loads(pathlib.Path(args.schema).read_text()) if args.schema else None
+        count = 0
+        for row in checks.validate(spark, files.find_files(spark, [args.input]), args.check_data, schema).toLocalIterator():
             print(f"{row.path}: {row.check}: {row.message}")
-        return int(bool(found))
+            count += 1
+        return int(bool(count))
     elif args.command == "count":
         print(files.footers(spark, files.find_files(spark, [args.input])).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
     return 0

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,31 +54,40 @@ def with_morton(df: DataFrame, x: Column, y: Column, name: str) -> DataFrame:
     return staged.withColumn(name, F.shiftleft("_sy", 1).bitwiseOR(F.col("_sx"))).drop("_sx", "_sy")
 
 
+def _turns(levels: int = 4) -> list[int]:
+    """For each way a quadrant is turned (4) and `levels` bits of x and of y: digits of the position times 4, plus the way the cell is turned.
+
+    A quadrant may have its axes exchanged (1) and both running backwards (2).
+    """
+    out = []
+    for state, x, y in itertools.product(range(4), range(1 << levels), range(1 << levels)):
+        position, swap, flip = 0, state & 1, state >> 1
+        for i in range(levels - 1, -1, -1):
+            u, v = (x >> i & 1) ^ flip, (y >> i & 1) ^ flip
+            if swap:
+                u, v = v, u
+            position = position * 4 + (3 * u ^ v)
+            if not v:
+                swap, flip = 1 - swap, flip ^ u
+        out.append(position * 4 + swap + 2 * flip)
+    return out
+
+
 def hilbert(x: Column, y: Column, bits: int) -> Column:
-    """Position on the Hilbert curve of order `bits` (Z4), by folding over the bits from the highest.
+    """Position on the Hilbert curve of order `bits` (Z4), four bits of either axis at a time by a fixed table.
 
-    The fold's state is the position so far and how the quadrant is turned: whether the
-    axes are exchanged and whether both run backwards.
+    x and y should be plain columns, as they come up in every step; null if one is null.
     """
     _check(bits)
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("d"), zero.alias("swap"), zero.alias("flip"))
-
-    def step(state: Column, i: Column) -> Column:
-        bit = lambda v: F.call_function("shiftright", v, i).bitwiseAND(F.lit(1).cast("long"))
-        bx, by = bit(x), bit(y)
-        u = F.when(state.swap == 1, by).otherwise(bx).bitwiseXOR(state.flip)
-        v = F.when(state.swap == 1, bx).otherwise(by).bitwiseXOR(state.flip)
-        digit = (u * 3).bitwiseXOR(v)
-        turned = v == 0
-        return F.struct(
-            (state.d * 4 + digit).alias("d"),
-            F.when(turned, F.lit(1).cast("long") - state.swap).otherwise(state.swap).alias("swap"),
-            F.when(turned & (u == 1), F.lit(1).cast("long") - state.flip).otherwise(state.flip).alias("flip"),
-        )
-
-    order = F.array(*[F.lit(i) for i in range(bits - 1, -1, -1)])
-    return F.when(x.isNotNull() & y.isNotNull(), F.aggregate(order, start, step, lambda s: s.d))
+    steps = -(-bits // 4)
+    table = F.expr(f"array({','.join(map(str, _turns()))})")
+    turned, digits = F.lit(4 * steps - bits & 1), []  # each leading pair of zeros exchanges the axes
+    for k in range(steps - 1, -1, -1):
+        four = lambda v: F.shiftright(v, 4 * k).bitwiseAND(F.lit(15)).cast("int")  # noqa: B023, E731
+        found = F.get(table, turned * 256 + four(x) * 16 + four(y))
+        turned = found.bitwiseAND(F.lit(3))
+        digits.append(F.shiftleft(F.shiftright(found, 2).cast("long"), 8 * k))
+    return functools.reduce(Column.bitwiseOR, digits)
 
 
 def curve_key(df: DataFrame, x: Column, y: Column, curve: str, bits: int, extent: tuple[Column, ...] | None = None, name: str | None = None) -> DataFrame:

@@ -9,29 +9,22 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrille.geometry import wkb
+from quadrille.geometry.batch import Batch, parsed, point_values, rectangle_values
 
 # types as objects: workers import this module without a session that could parse text
 BOX = T.StructType([T.StructField(c, T.DoubleType()) for c in ("xmin", "ymin", "xmax", "ymax")])
 POINT = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x", "y")])
 
 
-def _parsed(raw: bytes | None) -> wkb.Geometry | None:
-    if raw is None:
-        return None
-    try:
-        return wkb.from_wkb(raw)
-    except wkb.GeometryError:
-        return None
-
-
 def _each(values: pd.Series, measure: Callable[[wkb.Geometry], Any], missing: Any = None) -> list:
-    return [missing if (g := _parsed(v)) is None else measure(g) for v in values]
+    return [missing if (g := parsed(v)) is None else measure(g) for v in values]
 
 
 def _struct(rows: list, names: tuple[str, ...]) -> pd.DataFrame:
@@ -40,7 +33,7 @@ def _struct(rows: list, names: tuple[str, ...]) -> pd.DataFrame:
 
 @F.pandas_udf(BOX)
 def _bounds(values: pd.Series) -> pd.DataFrame:
-    return _struct(_each(values, wkb.bounds), ("xmin", "ymin", "xmax", "ymax"))
+    return pd.DataFrame(Batch(values.to_list()).bounds(), columns=["xmin", "ymin", "xmax", "ymax"])
 
 
 def bounds(geometry: Column) -> Column:
@@ -52,7 +45,13 @@ def bounds(geometry: Column) -> Column:
 @F.pandas_udf(POINT)
 def centroid(values: pd.Series) -> pd.DataFrame:
     """Planar centroid."""
-    return _struct(_each(values, wkb.centroid), ("x", "y"))
+    return pd.DataFrame(Batch(values.to_list()).centroids(), columns=["x", "y"])
+
+
+@F.pandas_udf(POINT)
+def projected_centroid(values: pd.Series) -> pd.DataFrame:
+    """Centroid in web Mercator of geometries in degrees, in degrees."""
+    return _struct(_each(values, wkb.projected_centroid), ("x", "y"))
 
 
 @F.pandas_udf(POINT)
@@ -64,17 +63,17 @@ def representative_point(values: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(T.BooleanType())
 def is_empty(values: pd.Series) -> pd.Series:
     """Null, unreadable or without a position."""
-    return pd.Series(_each(values, wkb.is_empty, True))
+    return pd.Series(Batch(values.to_list()).is_empty())
 
 
 @F.pandas_udf(T.StringType())
 def type_name(values: pd.Series) -> pd.Series:
-    return pd.Series(_each(values, lambda g: g.type_name), dtype=object)
+    return pd.Series(Batch(values.to_list()).type_names(), dtype=object)
 
 
 @F.pandas_udf(T.BooleanType())
 def well_oriented(values: pd.Series) -> pd.Series:
-    return pd.Series(_each(values, wkb.well_oriented, True))
+    return pd.Series(Batch(values.to_list()).well_oriented())
 
 
 @F.pandas_udf(T.BinaryType())
@@ -128,7 +127,7 @@ def point_wkb(x: Column, y: Column) -> Column:
 
     @F.pandas_udf(T.BinaryType())
     def build(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(a) or pd.isna(b) else wkb.to_wkb(wkb.point(a, b)) for a, b in zip(xs, ys)], dtype=object)
+        return pd.Series(point_values(xs.to_numpy(float), ys.to_numpy(float)), dtype=object)
 
     return build(x, y)
 
@@ -138,7 +137,7 @@ def rectangle_wkb(b: Column) -> Column:
 
     @F.pandas_udf(T.BinaryType())
     def build(boxes: pd.DataFrame) -> pd.Series:
-        return pd.Series([None if pd.isna(r[0]) else wkb.to_wkb(wkb.rectangle(*r)) for r in boxes.itertuples(index=False, name=None)], dtype=object)
+        return pd.Series(rectangle_values(*boxes.to_numpy(float).T), dtype=object)
 
     return build(b)
 
@@ -148,13 +147,7 @@ def within_region(geometry: Column, region: bytes) -> Column:
 
     @F.pandas_udf(T.BooleanType())
     def test(values: pd.Series) -> pd.Series:
-        import numpy as np
-
-        shape, out = wkb.from_wkb(region), np.zeros(len(values), bool)
-        found = [(i, g.data) for i, v in enumerate(values) if (g := _parsed(v)) is not None and g.kind == "Point" and len(g.data)]
-        if found:
-            out[[i for i, _ in found]] = wkb.points_within(np.array([p for _, p in found]), shape)
-        return pd.Series(out)
+        return pd.Series(Batch(values.to_list()).within(wkb.from_wkb(region)))
 
     return test(geometry)
 
@@ -164,12 +157,20 @@ def intersects_region(geometry: Column, region: bytes) -> Column:
 
     @F.pandas_udf(T.BooleanType())
     def test(values: pd.Series) -> pd.Series:
-        shape = wkb.from_wkb(region)
-        return pd.Series(_each(values, lambda g: wkb.intersects(g, shape), False))
+        return pd.Series(Batch(values.to_list()).intersects(wkb.from_wkb(region)))
 
     return test(geometry)
 
 
+@F.pandas_udf(T.StructType([*BOX.fields, T.StructField("cx", T.DoubleType()), T.StructField("cy", T.DoubleType())]))
+def _box_and_centroid(values: pd.Series) -> pd.DataFrame:
+    batch = Batch(values.to_list())
+    return pd.DataFrame(np.concatenate([batch.bounds(), batch.centroids()], axis=1), columns=["xmin", "ymin", "xmax", "ymax", "cx", "cy"])
+
+
 def with_boxes(df: DataFrame, geometry: str = "geometry", bbox: str = "bbox", x: str = "cx", y: str = "cy") -> DataFrame:
-    """Adds the covering box and the centroid, computed once."""
-    return df.withColumn(bbox, bounds(F.col(geometry))).withColumn("_c", centroid(F.col(geometry))).withColumns({x: F.col("_c.x"), y: F.col("_c.y")}).drop("_c")
+    """Adds the covering box and the centroid, computed once from one parse."""
+    m = F.col("_m")
+    box = F.struct(*[m[c].alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+    held = df.withColumn("_m", _box_and_centroid(F.col(geometry)))
+    return held.withColumns({bbox: F.when(m.xmin.isNotNull() & ~F.isnan(m.xmin), box), x: m.cx, y: m.cy}).drop("_m")

@@ -13,8 +13,10 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from quadrille.functions import boxes
+from quadrille.operators import ordering
 
 #: Cells up to which the tile index is broadcast (some 100 bytes each); beyond, it is shuffled.
 BROADCAST_CELLS = 100_000
@@ -38,7 +40,14 @@ class TileIndex:
         near = [boxes.EPSILON * 2] * 2  # a tile takes what lies within epsilon outside
         cells = own.select(F.struct(*TILE_FIELDS).alias("tile"), F.explode(self.cells(b.xmin - near[0], b.ymin - near[1], b.xmax + near[0], b.ymax + near[1])).alias("_cell"))
         self.cells_table = cells
-        self.small = self.count * 4 + self.side * self.side <= BROADCAST_CELLS
+        self.listed = self._listed(own, near[0])
+        self.small = self.listed <= BROADCAST_CELLS
+
+    def _listed(self, tiles: DataFrame, near: float) -> int:
+        """Rows of the cell table, counted without making them: tiles may overlap or be infinite."""
+        b = F.col("box")
+        wide = lambda axis, lo, hi: self._axis(hi + near, axis) - self._axis(lo - near, axis) + 1
+        return tiles.agg(F.sum(wide(0, b.xmin, b.xmax) * wide(1, b.ymin, b.ymax))).first()[0] or 0
 
     def _axis(self, value: Column, axis: int) -> Column:
         place = F.floor((value - F.lit(self.low[axis])) / F.lit(self.step[axis]))
@@ -119,19 +128,20 @@ def assign_smallest_intersecting(features: DataFrame, tiles: DataFrame | TileInd
 def assign_min_expansion(features: DataFrame, tiles: DataFrame | TileIndex, key: str, extent: tuple[float, float, float, float], bbox: str = "bbox", spare_tiles: bool = True) -> DataFrame:
     """One tile for each feature: of those it overlaps, the one that grows least within the extent, then the smallest.
 
-    Features without a box or an overlap get a tile by a hash of their key, or are left
-    out without spare_tiles.
+    Features without a box or an overlap get a tile by a reproducible number of their key, in the
+    order of ordinals, or are left out without spare_tiles or where there are no tiles.
     """
     index = tiles if isinstance(tiles, TileIndex) else TileIndex(tiles)
     tile = F.col("_tile")
     growth = boxes.expansion(tile.box, F.col(bbox), boxes.literal_box(*extent))
+    numeric = isinstance(features.schema[key].dataType, NumericType)
     best = _one_each(_pairs(features, index, bbox, boxes.overlaps), key, [growth, boxes.area(tile.box), tile.ordinal], features.columns)
     if not spare_tiles:
         return best
     lone = features.join(best.select(key), key, "left_anti")
-    ids = index.tiles.agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "tile_id"))), lambda t: t.tile_id).alias("_ids"))
-    spare = lone.withColumn("_one", F.lit(1)).join(F.broadcast(ids.withColumn("_one", F.lit(1))), "_one")
-    spare = spare.withColumn("tile_id", F.element_at("_ids", (F.pmod(F.xxhash64(key), F.size("_ids")) + 1).cast("int")))
+    places = ordering.places(index.tiles.select("ordinal", "tile_id"), [F.col("ordinal"), F.col("tile_id")], "_place").select("_place", "tile_id")
+    place = F.floor(ordering.uniform(F.col(key) if numeric else F.xxhash64(key)) * F.lit(index.count)) + 1
+    spare = lone.withColumn("_place", place).join(F.broadcast(places) if index.count <= BROADCAST_CELLS else places, "_place")
     return best.unionByName(spare.select(*features.columns, "tile_id"))
 
 
@@ -144,3 +154,13 @@ def counts(features: DataFrame, assigned: DataFrame) -> DataFrame:
     """One row of rows seen and assigned (A3)."""
     done = assigned.agg(F.count("tile_id").alias("assigned"))
     return features.agg(F.count("*").alias("seen")).withColumn("_one", F.lit(1)).join(done.withColumn("_one", F.lit(1)), "_one").drop("_one").withColumn("skipped", F.col("seen") - F.col("assigned"))
+
+
+def describe(tiles: DataFrame) -> DataFrame:
+    """One row: number of tiles, their common bounds, and whether no two of them overlap."""
+    index = TileIndex(tiles)
+    b = F.col("box")
+    met = _pairs(index.tiles.withColumnRenamed("tile_id", "_own"), index, "box", boxes.overlaps).where(F.col("_own") != F.col("_tile").tile_id)
+    twice = met.agg((F.count("*") == 0).alias("is_disjoint")).withColumn("_one", F.lit(1))
+    whole = index.tiles.agg(F.count("*").alias("tiles"), F.min(b.xmin).alias("xmin"), F.min(b.ymin).alias("ymin"), F.max(b.xmax).alias("xmax"), F.max(b.ymax).alias("ymax"))
+    return whole.withColumn("_one", F.lit(1)).join(twice, "_one").drop("_one")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions import boxes
 from quadrille.geometry import wkb
 from quadrille.geometry.columns import intersects_region, is_point_type, within_region
+from quadrille.sources import files, geojson
 
 #: Tile ids that are turned into a literal list, which prunes partitions; beyond, they are joined.
 LITERAL_TILES = 5000
@@ -24,13 +25,33 @@ def parse_box(text: str) -> tuple[float, float, float, float]:
     return xmin, ymin, xmax, ymax
 
 
-def region_geometry(region: str | tuple[float, float, float, float]) -> wkb.Geometry:
-    """A region given as a box, as `minx,miny,maxx,maxy` or as WKT."""
+def region_geometry(region: str | tuple[float, float, float, float] | wkb.Geometry) -> wkb.Geometry:
+    """A region given as a geometry, a box, as `minx,miny,maxx,maxy` or as WKT."""
+    if isinstance(region, wkb.Geometry):
+        return region
     if isinstance(region, tuple):
         return wkb.rectangle(*region)
     return wkb.from_wkt(region) if "(" in region else wkb.rectangle(*parse_box(region))
 
 
+def region_from_file(spark: SparkSession, path: str, field: str | None = None, value: str | None = None, geometry: str = "geometry", mercator: bool = False) -> wkb.Geometry:
+    """The region that the features of a GeoJSON or GeoParquet file make up together.
+
+    With a field, only features whose value equals `value` as text count; none at all is an
+    error. Positions in web Mercator are turned into degrees. A region is one geometry, which reaches the
+    driver and every task, as its file does.
+    """
+    df = geojson.flatten(geojson.read(spark, [path])) if files.format_of(path) == "geojson" else spark.read.parquet(path)
+    if field is not None:
+        df = df.where(F.col(f"`{field}`").cast("string") == str(value))
+    shapes = [wkb.from_wkb(bytes(r[0])) for r in df.select(geometry).where(F.col(geometry).isNotNull()).collect()]
+    parts = [p for g in shapes for p in wkb.flat(g)]
+    if not parts:
+        raise ValueError(f"{path} holds no region" + (f" with {field} = {value}" if field is not None else ""))
+    whole = wkb.Geometry("MultiPolygon" if all(p.kind == "Polygon" for p in parts) else "GeometryCollection", parts)
+    return wkb.mapped(whole, wkb.degrees_of) if mercator else whole
+
+
 def region_tiles(tiles: DataFrame, region: tuple[float, float, float, float]) -> DataFrame:
     """Tiles whose interior meets the region's bounds."""
     return tiles.where(boxes.overlaps(F.col("box"), boxes.literal_box(*region)))
@@ -42,7 +63,7 @@ def bbox_filter(df: DataFrame, region: tuple[float, float, float, float], bbox:
     return df.where((F.col(f"{bbox}.xmin") <= xmax) & (F.col(f"{bbox}.xmax") >= xmin) & (F.col(f"{bbox}.ymin") <= ymax) & (F.col(f"{bbox}.ymax") >= ymin))
 
 
-def query_region(df: DataFrame, region: str | tuple[float, float, float, float], tiles: DataFrame | None = None, geometry: str = "geometry", bbox: str | None = "bbox", points_only: bool = True, columns: list[str] | None = None, tile_column: str = "tile_id") -> DataFrame:
+def query_region(df: DataFrame, region: str | tuple[float, float, float, float] | wkb.Geometry, tiles: DataFrame | None = None, geometry: str = "geometry", bbox: str | None = "bbox", points_only: bool = True, columns: list[str] | None = None, tile_column: str = "tile_id") -> DataFrame:
     """Features within a region (J5, J7): tiles are pruned, boxes are compared in the scan, what is left is tested exactly.
 
     By default only points strictly within count; with points_only=False every geometry

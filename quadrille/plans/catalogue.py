@@ -12,6 +12,7 @@ from quadrille.operators import assign, ordering, regions, stats
 from quadrille.operators import tiles as tilesets
 from quadrille.plans.features import EXTENT, REGIONS_4, REGIONS_6, REGIONS_12, SQL, features, tiles
 from quadrille.session import shared_folder
+from quadrille.sources import catalog as tile_listing
 from quadrille.sources import files, geojson, geoparquet
 
 REGION = REGIONS_12["california"]
@@ -26,6 +27,8 @@ def _first(predicate: str, order: str) -> str:
     return f"(select feature_id, xmin, ymin, xmax, ymax, cx, cy, tile_id, row_number() over (partition by feature_id order by {order}) as n from features join tiles on {predicate}) where n = 1"
 
 
+#: A reproducible number in [0, 1) for a feature, as operators.ordering.uniform.
+_UNIFORM = "((((feature_id % 2147483648) * 2654435761 + 42 * 40503) % 4294967296) * 69069 + 1) % 4294967296 / 4294967296.0e0"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -83,9 +86,13 @@ _GROWN = " * ".join(_SIDE.format(lo=lo, hi=hi, a=f"least(t{n}min, {n}min)", b=f"
 _PLAIN = " * ".join(_SIDE.format(lo=lo, hi=hi, a=f"t{n}min", b=f"t{n}max") for n, lo, hi in (("x", "-125.0e0", "-65.0e0"), ("y", "24.0e0", "50.0e0")))
 
 
-@query(f"{WITH} select feature_id, tile_id from {_first(OVERLAPS, f'({_GROWN}) - ({_PLAIN}), tarea, ordinal')}")
+@query(
+    f"{WITH}, best as (select feature_id, tile_id from {_first(OVERLAPS, f'({_GROWN}) - ({_PLAIN}), tarea, ordinal')}), lone as (select feature_id, floor({_UNIFORM} * 24)::bigint as place from features where feature_id not in (select feature_id from best)) "
+    "select feature_id, tile_id from best union all select feature_id, tile_id from lone join tiles on ordinal = place"
+)
 def assign_min_expansion(spark, sf_dir):
-    return assign.assign_min_expansion(features(spark, sf_dir), tiles(spark), "feature_id", EXTENT, spare_tiles=False).select("feature_id", "tile_id")
+    """Features that overlap no tile get one by a reproducible number of their key."""
+    return assign.assign_min_expansion(features(spark, sf_dir), tiles(spark), "feature_id", EXTENT).select("feature_id", "tile_id")
 
 
 @query(f"{WITH} select feature_id from features where not exists (select 1 from tiles where {CONTAINS})")
@@ -143,14 +150,9 @@ def region_points_within(spark, sf_dir):
     return regions.query_region(shaped, REGION, tiles(spark)).select("feature_id", "tile_id")
 
 
-@query(f"{WITH} select feature_id from features where feature_id % 10 = 0 and xmin <= {_R['c']} and xmax >= {_R['a']} and ymin <= {_R['d']} and ymax >= {_R['b']}")
+@query(f"{WITH} select feature_id from features where xmin <= {_R['c']} and xmax >= {_R['a']} and ymin <= {_R['d']} and ymax >= {_R['b']}")
 def region_intersects(spark, sf_dir):
     """Exact intersection of rectangles with a region, the region given as text."""
-    return _region_intersects(features(spark, sf_dir).where("feature_id % 10 = 0"))
-
-
-@query(f"{WITH} select feature_id from features where xmin <= {_R['c']} and xmax >= {_R['a']} and ymin <= {_R['d']} and ymax >= {_R['b']}")
-def region_intersects_all(spark, sf_dir):
     return _region_intersects(features(spark, sf_dir))
 
 
@@ -243,8 +245,6 @@ def mercator_round_trip(spark, sf_dir):
     return features(spark, sf_dir).select("feature_id", F.round(x, 6).alias("lon"), F.round(y, 6).alias("lat"))
 
 
-_UNIFORM = "((((feature_id % 2147483648) * 2654435761 + 42 * 40503) % 4294967296) * 69069 + 1) % 4294967296 / 4294967296.0e0"
-
 
 @query(f"{WITH} select feature_id from features where {_UNIFORM} < 0.1e0")
 def sample_hash(spark, sf_dir):
@@ -262,17 +262,8 @@ def bin_weights(spark, sf_dir):
     return stats.bin_weights(features(spark, sf_dir), place, place * 7).select("feature_id", F.col("_bin").alias("bin"), "weight")
 
 
-@query(f"{WITH}, {_WORLD_GRID.format(t=2**16 - 1)}, k as (select feature_id, case when feature_id % 9 = 0 then null else {_MORTON} end as zkey16 from g) select feature_id, row_number() over (order by zkey16 nulls last, feature_id) as place from k where feature_id % 20 = 0")
-def null_geometry_last(spark, sf_dir):
-    f = features(spark, sf_dir).where("feature_id % 20 = 0")
-    x, y = (F.when(F.col("feature_id") % 9 != 0, F.col(c)) for c in ("cx", "cy"))
-    keyed = curves.curve_key(f, x, y, "zorder", 16)
-    order = Window.orderBy(F.col("zkey16").asc_nulls_last(), "feature_id")
-    return keyed.select("feature_id", F.row_number().over(order).cast("long").alias("place"))
-
-
 @query(f"{WITH}, {_WORLD_GRID.format(t=2**16 - 1)}, k as (select feature_id, case when feature_id % 9 = 0 then null else {_MORTON} end as zkey16 from g) select feature_id, row_number() over (order by zkey16 nulls last, feature_id) as place from k")
-def null_geometry_last_all(spark, sf_dir):
+def null_geometry_last(spark, sf_dir):
     x, y = (F.when(F.col("feature_id") % 9 != 0, F.col(c)) for c in ("cx", "cy"))
     keyed = curves.curve_key(features(spark, sf_dir), x, y, "zorder", 16).select("feature_id", "zkey16")
     return ordering.places(keyed, [F.col("zkey16").asc_nulls_last(), F.col("feature_id")]).select("feature_id", "place")
@@ -322,14 +313,9 @@ def tile_grid(spark, sf_dir):
     return tiles(spark).select("tile_id", "ordinal", *_sides(F.col("box")))
 
 
-@query(f"{WITH} select feature_id, 'Polygon' as kind, xmin, ymin, xmax, ymax, round(cx, 6) as x, round(cy, 6) as y, false as is_empty, true as is_oriented from features where feature_id % 10 = 0")
+@query(f"{WITH} select feature_id, 'Polygon' as kind, xmin, ymin, xmax, ymax, round(cx, 6) as x, round(cy, 6) as y, false as is_empty, true as is_oriented from features")
 def wkb_measures(spark, sf_dir):
     """Rectangles as WKB, measured by the geometry kernel."""
-    return _wkb_measures(features(spark, sf_dir).where("feature_id % 10 = 0"))
-
-
-@query(f"{WITH} select feature_id, 'Polygon' as kind, xmin, ymin, xmax, ymax, round(cx, 6) as x, round(cy, 6) as y, false as is_empty, true as is_oriented from features")
-def wkb_measures_all(spark, sf_dir):
     return _wkb_measures(features(spark, sf_dir))
 
 
@@ -340,14 +326,9 @@ def _wkb_measures(f: DataFrame) -> DataFrame:
     return m.select("feature_id", "kind", *_sides(F.col("b")), F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"), "is_empty", "is_oriented")
 
 
-@query(f"{WITH} select feature_id, cx as x, cy as y, true as is_same, true as is_point from features where feature_id % 10 = 0")
+@query(f"{WITH} select feature_id, cx as x, cy as y, true as is_same, true as is_point from features")
 def text_round_trip(spark, sf_dir):
     """Points to WKT and GeoJSON and back."""
-    return _text_round_trip(features(spark, sf_dir).where("feature_id % 10 = 0"))
-
-
-@query(f"{WITH} select feature_id, cx as x, cy as y, true as is_same, true as is_point from features")
-def text_round_trip_all(spark, sf_dir):
     return _text_round_trip(features(spark, sf_dir))
 
 
@@ -358,15 +339,8 @@ def _text_round_trip(f: DataFrame) -> DataFrame:
     return back.select("feature_id", c.x.alias("x"), c.y.alias("y"), ((F.col("g") == F.col("w")) & (F.col("g") == F.col("j"))).alias("is_same"), geometry.is_point_type(F.col("g")).alias("is_point"))
 
 
-@query(f"{WITH} select feature_id, row_number() over (order by floor(cx) desc, cy, feature_id)::bigint as place from features where feature_id % 20 = 0")
-def sort_columns(spark, sf_dir):
-    f = features(spark, sf_dir).where("feature_id % 20 = 0").withColumn("column", F.floor("cx"))
-    order = Window.orderBy(*ordering.order_by(ordering.sort_keys("column:desc,cy:asc,feature_id")))
-    return f.select("feature_id", F.row_number().over(order).cast("long").alias("place"))
-
-
 @query(f"{WITH} select feature_id, row_number() over (order by floor(cx) desc, cy, feature_id)::bigint as place from features")
-def sort_columns_all(spark, sf_dir):
+def sort_columns(spark, sf_dir):
     f = features(spark, sf_dir).select("feature_id", "cy", F.floor("cx").alias("column"))
     return ordering.places(f, ordering.order_by(ordering.sort_keys("column:desc,cy:asc,feature_id"))).select("feature_id", "place")
 
@@ -383,12 +357,53 @@ def partition_histogram(spark, sf_dir):
     return tilesets.partition_by_histogram(features(spark, sf_dir), 24, cells=True).select("tile_id", "ordinal", *_sides(F.col("box")))
 
 
-@query()
-def tile_catalog(spark, sf_dir):
-    from quadrille.sources.catalog import catalog
+@query(f"{WITH} select count(*) as points, ceil(count(*) / 24.0e0)::bigint as capacity, true as is_within, true as is_tight, 0::bigint as overlaps from features")
+def partition_tiles_checked(spark, sf_dir):
+    """What the splitter's tiles promise: no part beyond its capacity, tight boxes that together hold every point and do not overlap.
+
+    At this size the sample is the whole table; a larger one is judged on its sample.
+    """
+    points = ordering.sample_rows(features(spark, sf_dir), "feature_id", tilesets.SAMPLE_ROWS).select("feature_id", "cx", "cy")
+    held = tilesets.partition(features(spark, sf_dir), 24, "feature_id")
+    spot = boxes.box(F.col("cx"), F.col("cy"), F.col("cx"), F.col("cy"))
+    met = assign.assign_smallest_intersecting(points.withColumn("bbox", spot), held, "feature_id").join(held, "tile_id")
+    by_tile = met.groupBy("tile_id", "box").agg(F.count("*").alias("n"), F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1"))
+    b, o = F.col("box"), F.col("other.box")
+    shared = held.alias("t").join(held.alias("other"), F.expr("t.tile_id < other.tile_id")).where(boxes.overlaps(F.col("t.box"), o)).agg(F.count("*").alias("overlaps"))
+    tight = (F.col("x0") == b.xmin) & (F.col("x1") == b.xmax) & (F.col("y0") == b.ymin) & (F.col("y1") == b.ymax)
+    total = by_tile.agg(F.sum("n").alias("points"), F.max("n").alias("most"), F.bool_and(tight).alias("is_tight")).withColumn("_one", F.lit(1)).join(shared.withColumn("_one", F.lit(1)), "_one")
+    capacity = F.ceil(F.col("points") / F.lit(24.0))
+    return total.select("points", capacity.alias("capacity"), (F.col("most") <= capacity).alias("is_within"), "is_tight", "overlaps")
+
+
+@query(f"{WITH} select feature_id, 1::bigint as tiles from features")
+def partition_cells_hold_all(spark, sf_dir):
+    """Tiles of the histogram splitter fill the plane: each centroid lies in one, half-open."""
+    held = tilesets.partition_by_histogram(features(spark, sf_dir), 24, cells=True)
+    f = features(spark, sf_dir)
+    x, y = F.col("cx"), F.col("cy")
+    spot = f.select("feature_id", "cx", "cy", boxes.box(x, y, x, y).alias("bbox"))
+    met = assign._pairs(spot, assign.TileIndex(held), "bbox", boxes.touches).where(boxes.holds_point(F.col("_tile").box, x, y))
+    return met.groupBy("feature_id").agg(F.count("*").alias("tiles"))
+
 
+def _corner_sql(x: str, y: str) -> str:
+    return f"{x}::varchar || ' ' || {y}::varchar"
+
+
+_RING = " || ', ' || ".join(_corner_sql(f"tx{a}", f"ty{b}") for a, b in (("min", "min"), ("max", "min"), ("max", "max"), ("min", "max"), ("min", "min")))
+
+
+@query(
+    f"{WITH}, s as (select tile_id, count(*) as n, sum(cx) as sx, sum(cy) as sy from {_first(HALF_OPEN, 'ordinal')} group by tile_id) "
+    "select ordinal::int as \"ID\", tile_id || '.parquet' as \"File Name\", coalesce(n, 0)::bigint as \"Record Count\", coalesce(n, 0)::bigint as \"NonEmpty Count\", coalesce(n, 0)::bigint as \"NumPoints\", 0::bigint as \"Data Size\", "
+    "round(coalesce(sx, 0), 6) as \"Sum_x\", round(coalesce(sy, 0), 6) as \"Sum_y\", "
+    f"'POLYGON ((' || {_RING} || '))' as \"Geometry\", txmin as xmin, tymin as ymin, txmax as xmax, tymax as ymax from tiles left join s using (tile_id)"
+)
+def tile_catalog(spark, sf_dir):
     a = assign.assign_disjoint(features(spark, sf_dir), tiles(spark)).where(F.col("tile_id").isNotNull()).withColumnsRenamed({"cx": "x", "cy": "y"})
-    return catalog(tiles(spark), stats.summary(a, ["tile_id"]))
+    listed = tile_listing.catalog(tiles(spark), stats.summary(a, ["tile_id"]))
+    return listed.withColumns({c: F.round(c, 6) for c in ("Sum_x", "Sum_y")})
 
 
 @query(f"{WITH} select tile_id, count(*) as rows, min(xmin) as xmin, min(ymin) as ymin, max(xmax) as xmax, max(ymax) as ymax from {_first(HALF_OPEN, 'ordinal')} group by tile_id")
@@ -420,14 +435,71 @@ def footers_and_findings(spark, sf_dir):
     return rows.join(found, "_one").select("rows", "findings")
 
 
-@query(f"{WITH} select feature_id, cx as x, cy as y, cx as xmin, cy as ymin, cx as xmax, cy as ymax from features where feature_id % 10 = 0")
-def geojson_round_trip(spark, sf_dir):
-    """Points written as GeoJSON lines and read back by the incremental reader."""
-    return _geojson_round_trip(spark, features(spark, sf_dir).where("feature_id % 10 = 0"))
+def _own(**more) -> dict:
+    return {"version": "1.1.0", "primary_column": "geometry", "columns": {"geometry": {"encoding": "WKB", "geometry_types": ["Point"]} | more}}
+
+
+#: Footers with a fault each, and the checks that find it; None has no geo key, text is no JSON.
+FAULTS = {
+    "no_key": (None, ["V2"]),
+    "no_json": ("{", ["V3"]),
+    "no_object": ([], ["V3"]),
+    "no_version": (_own() | {"version": 1}, ["V4"]),
+    "no_columns": ({"version": "1.1.0", "primary_column": "geometry"}, ["V6"]),
+    "encoding": (_own(encoding="WKT"), ["V5"]),
+    "absent_column": (_own() | {"primary_column": "other", "columns": {"other": _own()["columns"]["geometry"]}}, ["V7"]),
+    "system": (_own(crs={"type": "ProjectedCRS", "name": "x"}), ["V8"]),
+    "bounds": (_own(bbox=[0, 5, 1, 4]), ["V9"]),
+    "repeated_type": (_own(geometry_types=["Point", "Point"]), ["V10"]),
+    "nesting": (_own(encoding="polygon", geometry_types=["Polygon"]), ["V12"]),
+    "schema": (_own() | {"odd": 1}, ["V5"]),
+    "sound": (_own(), []),
+}
+GEO_SCHEMA = {"type": "object", "properties": {"version": {"type": ["string", "integer"]}, "primary_column": {"type": "string"}, "columns": {"type": "object", "minProperties": 1}}, "additionalProperties": False}
+
+
+@query(
+    f"{WITH}, faults(file, \"check\", findings) as (values " + ", ".join(f"('{k}', '{c}', 1::bigint)" for k, (_, checks) in FAULTS.items() for c in checks) + ", ('no_object', 'V5', 1::bigint)) "
+    "select * from faults union all select 'undeclared', 'V11', count(*) from features where feature_id % 35 <> 0"
+)
+def validator_findings(spark, sf_dir):
+    """Findings on files with one fault each, and on files of all features that declare points alone."""
+    import json
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark import TaskContext
+
+    folder = shared_folder(spark, "faults")
+
+    def write(name: str, geo, values: list) -> None:
+        table = pa.table({"geometry": pa.array(values, pa.binary())})
+        if geo is not None:
+            table = table.replace_schema_metadata({"geo": geo if isinstance(geo, str) else json.dumps(geo)})
+        where, base = files.open_fs(folder)
+        where.create_dir(base, recursive=True)
+        with where.open_output_stream(f"{base}/{name}.parquet") as out:
+            pq.write_table(table, out)
+
+    def run(batches):
+        for i, batch in enumerate(batches):
+            name = f"undeclared-{TaskContext.get().partitionId()}-{i}"
+            write(name, _own(), batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    for name, (geo, _) in FAULTS.items():
+        write(name, geo, [])
+    b = F.col("bbox")
+    shaped = features(spark, sf_dir).select(F.when(F.col("feature_id") % 35 == 0, geometry.point_wkb(b.xmin, b.ymin)).otherwise(geometry.rectangle_wkb(b)).alias("geometry"))
+    shaped.mapInArrow(run, "name string").count()
+    found = validate.validate(spark, files.find_files(spark, [folder]), check_data=True, schema=GEO_SCHEMA)
+    name = F.regexp_extract("path", r"/([a-z_]+)[-0-9]*\.parquet$", 1)
+    return found.groupBy(name.alias("file"), "check").agg(F.count("*").alias("findings"))
 
 
 @query(f"{WITH} select feature_id, cx as x, cy as y, cx as xmin, cy as ymin, cx as xmax, cy as ymax from features")
-def geojson_round_trip_all(spark, sf_dir):
+def geojson_round_trip(spark, sf_dir):
+    """Points written as GeoJSON lines and read back by the incremental reader."""
     return _geojson_round_trip(spark, features(spark, sf_dir))
 
 

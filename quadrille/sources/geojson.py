@@ -27,14 +27,14 @@ def features_of(stream) -> Iterator[dict]:
     decode, parser = codecs.getincrementaldecoder("utf-8-sig")(), json.JSONDecoder()
     text, done = "", False
 
-    def more() -> None:
+    def more(size: int = PIECE) -> None:
         nonlocal text, done
-        piece = stream.read(PIECE)
+        piece = stream.read(size)
         done = not piece
         text += decode.decode(piece or b"", final=done)
 
     def value() -> Any:
-        """The next whole value of the text."""
+        """The next whole value of the text; a long one is parsed again only when twice as much of it is there."""
         nonlocal text
         while True:
             try:
@@ -45,7 +45,7 @@ def features_of(stream) -> Iterator[dict]:
             except json.JSONDecodeError:
                 if done:
                     raise ValueError("the text ends inside a value") from None
-            more()
+            more(max(PIECE, len(text)))
 
     def skip() -> str:
         """The next character after space and commas."""
@@ -82,22 +82,26 @@ def features_of(stream) -> Iterator[dict]:
             yield members
 
 
+KINDS = pa.schema([("path", pa.string()), ("ordinal", pa.int64()), ("feature", pa.string()), ("properties", pa.string()), ("geometry", pa.binary()), ("bbox", pa.struct([(c, pa.float64()) for c in ("xmin", "ymin", "xmax", "ymax")]))])
+
+
+def feature_row(path: str, ordinal: int, f: dict, order: str = "xy") -> dict:
+    """A row of FEATURES; an unreadable geometry is null."""
+    try:
+        geometry = wkb.to_wkb(wkb.from_geojson(f["geometry"])) if f.get("geometry") else None
+    except wkb.GeometryError:
+        geometry = None
+    box = wkb.json_bounds(f, order)
+    dump = lambda v: json.dumps(v, ensure_ascii=False)
+    return {"path": path, "ordinal": ordinal, "feature": dump(f), "properties": dump(f.get("properties") or {}), "geometry": geometry, "bbox": dict(zip(("xmin", "ymin", "xmax", "ymax"), box)) if box else None}
+
+
 def read(spark: SparkSession, paths: list[str], order: str = "xy") -> DataFrame:
     """FEATURES of files, plain or gzipped (S6 to S9): a task streams a file and holds one batch.
 
     Every feature is one row, also with a null or unreadable geometry, which is null. bbox
     is the feature's own, its geometry's, or that of its positions.
     """
-    kinds = pa.schema([("path", pa.string()), ("ordinal", pa.int64()), ("feature", pa.string()), ("properties", pa.string()), ("geometry", pa.binary()), ("bbox", pa.struct([(c, pa.float64()) for c in ("xmin", "ymin", "xmax", "ymax")]))])
-
-    def row(path: str, ordinal: int, f: dict) -> dict:
-        try:
-            geometry = wkb.to_wkb(wkb.from_geojson(f["geometry"])) if f.get("geometry") else None
-        except wkb.GeometryError:
-            geometry = None
-        box = wkb.json_bounds(f, order)
-        dump = lambda v: json.dumps(v, ensure_ascii=False)
-        return {"path": path, "ordinal": ordinal, "feature": dump(f), "properties": dump(f.get("properties") or {}), "geometry": geometry, "bbox": dict(zip(("xmin", "ymin", "xmax", "ymax"), box)) if box else None}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,11 +110,11 @@ def read(spark: SparkSession, paths: list[str], order: str = "xy") -> DataFrame:
                 rows: list[dict] = []
                 with where.open_input_stream(name, compression="detect") as stream:
                     for i, f in enumerate(features_of(stream)):
-                        rows.append(row(path, i, f))
+                        rows.append(feature_row(path, i, f, order))
                         if len(rows) >= BATCH:
-                            yield pa.RecordBatch.from_pylist(rows, kinds)
+                            yield pa.RecordBatch.from_pylist(rows, KINDS)
                             rows = []
-                yield pa.RecordBatch.from_pylist(rows, kinds)
+                yield pa.RecordBatch.from_pylist(rows, KINDS)
 
     return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths))).mapInArrow(run, FEATURES)
 

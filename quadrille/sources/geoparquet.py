@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import TaskContext
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions.curves import hilbert, morton, to_extent_grid
-from quadrille.geometry import wkb
+from quadrille.geometry.batch import Batch
 from quadrille.geometry.columns import with_boxes
 from quadrille.operators.ordering import cluster, order_by, sort_keys, sort_mode
 from quadrille.operators.regions import bbox_filter
@@ -81,31 +82,30 @@ def write_files(df: DataFrame, folder: str, geometry: str = "geometry", tile: st
             state.clear()
 
         for batch in batches:
-            keys = batch.column(0).to_pylist() if tile else [""] * batch.num_rows
             payload = pa.RecordBatch.from_arrays(batch.columns[1:] if tile else batch.columns, names=fields)
-            first = 0
-            while first < batch.num_rows:
-                last = first
-                while last < batch.num_rows and keys[last] == keys[first]:
-                    last += 1
-                if state and state["name"] != str(keys[first]):
+            keys = batch.column(0).dictionary_encode() if tile else None
+            codes = keys.indices.fill_null(-1).to_numpy() if tile else np.zeros(batch.num_rows, np.int32)
+            cuts = np.append(np.flatnonzero(np.append(True, codes[1:] != codes[:-1])), len(codes)).tolist() if len(codes) else []
+            for first, last in zip(cuts, cuts[1:]):
+                key = "" if not tile else keys.dictionary[int(codes[first])].as_py() if codes[first] >= 0 else None
+                if state and state["name"] != str(key):
                     finish()
                 if not state:
-                    start(str(keys[first]), payload.schema)
-                    state["file"] = names.format(tile=keys[first], part=f"{task.partitionId():05d}")
+                    start(str(key), payload.schema)
+                    state["file"] = names.format(tile=key, part=f"{task.partitionId():05d}")
                 part = payload.slice(first, last - first)
-                for raw in part.column(at).to_pylist():
-                    if raw is not None:
-                        g = wkb.from_wkb(raw)
-                        state["kinds"].add(g.type_name)
-                        if b := wkb.bounds(g):
-                            old = state["box"] or b
-                            state["box"] = [min(old[0], b[0]), min(old[1], b[1]), max(old[2], b[2]), max(old[3], b[3])]
+                shapes = Batch(part.column(at).to_pylist(), strict=True)
+                state["kinds"].update(x for x in set(shapes.type_names().tolist()) if x is not None)
+                sides = shapes.bounds()
+                sides = sides[~np.isnan(sides[:, 0])]
+                if len(sides):
+                    own = [*sides[:, :2].min(axis=0).tolist(), *sides[:, 2:].max(axis=0).tolist()]
+                    old = state["box"] or own
+                    state["box"] = [min(old[0], own[0]), min(old[1], own[1]), max(old[2], own[2]), max(old[3], own[3])]
                 state["held"].append(part)
                 state["count"] += part.num_rows
                 state["rows"] += part.num_rows
                 flush(False)
-                first = last
         if state:
             finish()
         kinds = [("path", pa.string()), ("tile_id", pa.string()), ("rows", pa.int64()), ("bytes", pa.int64())] + [(c, pa.float64()) for c in ("xmin", "ymin", "xmax", "ymax")]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import operator
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -15,7 +18,20 @@ from quadrille.geometry import wkb
 from quadrille.sources.files import open_fs
 
 FINDINGS = "path string, check string, message string"
-MOST = 100
+# Kinds of PROJJSON objects with the parts they need, first words of well-known text, JSON types and bounds.
+CRS_KINDS = ("GeodeticCRS", "GeographicCRS", "ProjectedCRS", "BoundCRS", "CompoundCRS", "DerivedGeodeticCRS", "DerivedGeographicCRS", "DerivedProjectedCRS", "EngineeringCRS", "VerticalCRS", "TemporalCRS", "ParametricCRS")
+CRS_PARTS = {"GeographicCRS": ("datum",), "GeodeticCRS": ("datum",), "ProjectedCRS": ("base_crs", "conversion"), "CompoundCRS": ("components",)}
+CRS_WORDS = ("GEOGCS", "PROJCS", "GEOGCRS", "PROJCRS", "GEODCRS", "COMPOUNDCRS", "COMPD_CS", "BOUNDCRS", "VERTCRS", "LOCAL_CS", "ENGCRS")
+JSON_TYPES = {
+    "object": lambda v: isinstance(v, dict),
+    "array": lambda v: isinstance(v, list),
+    "string": lambda v: isinstance(v, str),
+    "boolean": lambda v: isinstance(v, bool),
+    "null": lambda v: v is None,
+    "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
+    "integer": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and float(v).is_integer(),
+}
+JSON_BOUNDS = {"minimum": operator.ge, "maximum": operator.le, "exclusiveMinimum": operator.gt, "exclusiveMaximum": operator.lt}
 # Encodings of the format, and the nesting of lists that each native one has.
 NATIVE = {"point": 0, "linestring": 1, "multipoint": 1, "polygon": 2, "multilinestring": 2, "multipolygon": 3}
 
@@ -52,8 +68,8 @@ def check_metadata(geo: Any, schema: pa.Schema) -> list[tuple[str, str]]:
         if own.get("edges", "planar") not in ("planar", "spherical"):
             out.append(("V5", f"column {name!r}: unknown edges"))
         crs = own.get("crs")
-        if crs is not None and not (isinstance(crs, dict) and ("id" in crs or "type" in crs or "name" in crs) or isinstance(crs, str) and crs):
-            out.append(("V8", f"column {name!r}: the reference system cannot be read"))
+        if problem := crs_problem(crs):
+            out.append(("V8", f"column {name!r}: {problem}"))
         out += [("V9", f"column {name!r}: {m}") for m in check_bbox(own.get("bbox"), _geographic(crs))]
         if encoding in NATIVE and name in schema.names:
             depth, kind = 0, schema.field(name).type
@@ -66,6 +82,73 @@ def check_metadata(geo: Any, schema: pa.Schema) -> list[tuple[str, str]]:
     return out
 
 
+def crs_problem(crs: Any) -> str | None:
+    """Why a reference system cannot be read (V8): PROJJSON, an authority's code, or well-known text."""
+    if crs is None:
+        return None
+    if isinstance(crs, str):
+        good = re.fullmatch(r"\s*[A-Za-z]+:[A-Za-z0-9_.-]+\s*", crs) or (re.match(rf"\s*({'|'.join(CRS_WORDS)})\s*\[", crs) and crs.count("[") == crs.count("]"))
+        return None if good else "the reference system is neither a code nor well-known text"
+    if not isinstance(crs, dict):
+        return "the reference system is neither text nor an object"
+    if "type" not in crs:
+        own = crs.get("id")
+        return None if isinstance(own, dict) and own.get("authority") and own.get("code") is not None else "the reference system has neither a type nor an id"
+    if crs["type"] not in CRS_KINDS:
+        return f"unknown kind of reference system {crs['type']!r}"
+    missing = [k for k in ("name", *CRS_PARTS.get(crs["type"], ())) if k not in crs]
+    if missing and not (missing == ["datum"] and "datum_ensemble" in crs):
+        return f"the reference system lacks {', '.join(missing)}"
+    parts = [crs[k] for k in ("base_crs", "source_crs") if isinstance(crs.get(k), dict)] + [c for c in crs.get("components", []) if isinstance(c, dict)]
+    return next((p for p in map(crs_problem, parts) if p), None)
+
+
+def check_schema(value: Any, schema: Any, root: Any = None, at: str = "geo") -> list[str]:
+    """Where a value breaks a JSON schema (V5): types, enumerations, bounds, patterns, properties, items, combinations, local references."""
+    root = schema if root is None else root
+    if schema is True or not isinstance(schema, dict):
+        return [f"{at} is not allowed"] if schema is False else []
+    out: list[str] = []
+    if "$ref" in schema:
+        place = root
+        for step in schema["$ref"].removeprefix("#").strip("/").split("/"):
+            place = place[step.replace("~1", "/").replace("~0", "~")] if step else place
+        out += check_schema(value, place, root, at)
+    kinds = schema.get("type")
+    if kinds is not None and not any(JSON_TYPES[k](value) for k in ([kinds] if isinstance(kinds, str) else kinds)):
+        return [*out, f"{at} is not of type {kinds}"]
+    if "enum" in schema and value not in schema["enum"] or "const" in schema and value != schema["const"]:
+        out.append(f"{at} has a value that is not listed")
+    if JSON_TYPES["number"](value):
+        out += [f"{at} is out of bounds"] * any(k in schema and not test(value, schema[k]) for k, test in JSON_BOUNDS.items())
+    if isinstance(value, str):
+        out += [f"{at} does not match {schema.get('pattern')}"] * ("pattern" in schema and not re.search(schema["pattern"], value))
+        out += [f"{at} is too short"] * (len(value) < schema.get("minLength", 0))
+    if isinstance(value, list):
+        out += [f"{at} has the wrong number of items"] * (not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)))
+        out += [f"{at} repeats an item"] * (bool(schema.get("uniqueItems")) and len({json.dumps(v, sort_keys=True) for v in value}) < len(value))
+        first = schema.get("prefixItems", schema["items"] if isinstance(schema.get("items"), list) else [])
+        rest = schema.get("items") if isinstance(schema.get("items"), (dict, bool)) else True
+        for i, v in enumerate(value):
+            out += check_schema(v, first[i] if i < len(first) else rest, root, f"{at}[{i}]")
+    if isinstance(value, dict):
+        out += [f"{at} lacks {k!r}" for k in schema.get("required", []) if k not in value]
+        out += [f"{at} has too few members"] * (len(value) < schema.get("minProperties", 0))
+        for k, v in value.items():
+            own = [s for p, s in schema.get("patternProperties", {}).items() if re.search(p, k)] + [s for p, s in schema.get("properties", {}).items() if p == k]
+            for s in own or [schema.get("additionalProperties", True)]:
+                out += check_schema(v, s, root, f"{at}.{k}")
+    for part in schema.get("allOf", []):
+        out += check_schema(value, part, root, at)
+    fits = lambda name: sum(not check_schema(value, part, root, at) for part in schema[name])
+    out += [f"{at} fits none of the choices"] * ("anyOf" in schema and not fits("anyOf")) + [f"{at} does not fit one choice"] * ("oneOf" in schema and fits("oneOf") != 1)
+    out += [f"{at} is what it must not be"] * ("not" in schema and not check_schema(value, schema["not"], root, at))
+    if "if" in schema:
+        branch = "else" if check_schema(value, schema["if"], root, at) else "then"
+        out += check_schema(value, schema.get(branch, True), root, at)
+    return out
+
+
 def _geographic(crs: Any) -> bool:
     text = json.dumps(crs) if isinstance(crs, dict) else str(crs)
     return crs is None or "Geographic" in text or "4326" in text or "CRS84" in text
@@ -102,41 +185,46 @@ def check_values(values: list[bytes | None], declared: list[str], oriented: bool
     return out
 
 
-def check_file(path: str, check_data: bool = False) -> list[tuple[str, str]]:
+def check_file(path: str, check_data: bool = False, schema: dict | None = None) -> Iterator[tuple[str, str]]:
+    """All findings on a file, as they come up."""
     where, name = open_fs(path)
     try:
         source = where.open_input_file(name)
         file = pq.ParquetFile(source)
     except (OSError, pa.ArrowInvalid) as e:
-        return [("V1", f"no Parquet file: {str(e)[:80]}")]
+        yield "V1", f"no Parquet file: {str(e)[:80]}"
+        return
     with source:
         raw = (file.metadata.metadata or {}).get(b"geo")
         if raw is None:
-            return [("V2", "there is no geo key")]
+            yield "V2", "there is no geo key"
+            return
         try:
             geo = json.loads(raw)
         except ValueError:
-            return [("V3", "the geo key is not JSON")]
-        out = check_metadata(geo, file.schema_arrow)
+            yield "V3", "the geo key is not JSON"
+            return
+        yield from check_metadata(geo, file.schema_arrow)
+        if schema is not None:
+            yield from (("V5", m) for m in check_schema(geo, schema))
         for column, own in geo.get("columns", {}).items() if check_data and isinstance(geo, dict) and isinstance(geo.get("columns"), dict) else ():
             if isinstance(own, dict) and own.get("encoding") == "WKB" and column in file.schema_arrow.names:
                 first = 0
                 for batch in file.iter_batches(batch_size=8192, columns=[column]):
-                    out += check_values(batch.column(0).to_pylist(), own.get("geometry_types") or [], own.get("orientation") == "counterclockwise", first)
+                    yield from check_values(batch.column(0).to_pylist(), own.get("geometry_types") or [], own.get("orientation") == "counterclockwise", first)
                     first += batch.num_rows
-                    if len(out) >= MOST:
-                        break
-        return out[:MOST]
 
 
-def validate(spark: SparkSession, files: list[str], check_data: bool = False) -> DataFrame:
-    """FINDINGS on files, at most MOST for each; a file without findings has no row."""
-    schema = pa.schema([("path", pa.string()), ("check", pa.string()), ("message", pa.string())])
+def validate(spark: SparkSession, files: list[str], check_data: bool = False, schema: dict | None = None) -> DataFrame:
+    """FINDINGS on files, all of them; a file without findings has no row. `schema` is a JSON schema for the geo key."""
+    kinds = pa.schema([("path", pa.string()), ("check", pa.string()), ("message", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_pylist([{"path": path, "check": c, "message": m} for c, m in check_file(path, check_data)], schema)
+                found = check_file(path, check_data, schema)
+                while part := list(itertools.islice(found, 1000)):
+                    yield pa.RecordBatch.from_pylist([{"path": path, "check": c, "message": m} for c, m in part], kinds)
 
     return spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, min(len(files), 1000))).mapInArrow(run, FINDINGS)
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille import validate
+from quadrille.functions import boxes
 from quadrille.geometry import columns as geometry
 from quadrille.geometry import wkb
 from quadrille.operators import assign, regions, stats
@@ -172,3 +173,95 @@ def test_stream_against_tiles(spark, tmp_path):
     q.stop()
     got = {r.tile_id: r.n for r in spark.sql("select tile_id, count(*) n from assigned group by 1").collect()}
     assert got == {"tile_000000": 50, "tile_000001": 40, None: 10}
+
+
+def test_region_from_files(spark, points, tmp_path):
+    square = lambda x: {"type": "Polygon", "coordinates": [[[x, 0], [x + 1, 0], [x + 1, 1], [x, 1], [x, 0]]]}
+    (tmp_path / "r.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"name": n}, "geometry": g} for n, g in (("a", square(0)), ("b", square(5)), ("b", square(7)), ("c", None))]}))
+    whole = regions.region_from_file(spark, str(tmp_path / "r.geojson"))
+    assert whole.kind == "MultiPolygon" and wkb.bounds(whole) == (0, 0, 8, 1)
+    part = regions.region_from_file(spark, str(tmp_path / "r.geojson"), "name", "b")
+    assert wkb.bounds(part) == (5, 0, 8, 1) and len(part.data) == 2
+    for value in ("c", "z"):
+        with pytest.raises(ValueError, match="no region"):
+            regions.region_from_file(spark, str(tmp_path / "r.geojson"), "name", value)
+    metres = wkb.mapped(wkb.rectangle(1, 2, 3, 4), wkb.metres_of)
+    spark.createDataFrame([(bytearray(wkb.to_wkb(metres)),)], "geometry binary").write.parquet(str(tmp_path / "m.parquet"))
+    back = regions.region_from_file(spark, str(tmp_path / "m.parquet"), mercator=True)
+    assert wkb.bounds(back) == pytest.approx((1, 2, 3, 4))
+    spots = spark.createDataFrame([(i, float(x)) for i, x in enumerate((0.5, 3, 5.5, 7.5, 8))], "id long, x double").withColumn("geometry", geometry.point_wkb(F.col("x"), F.lit(0.5)))
+    assert [r.id for r in regions.query_region(spots, part, bbox=None).orderBy("id").collect()] == [2, 3]
+
+
+def test_data_source_takes_box_filters_over(spark, tmp_path):
+    from quadrille.sources import datasource
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.geojson").write_bytes(collection_bytes())
+    (tmp_path / "in" / "b.geojson").write_bytes(collection_bytes(indent=1))
+    plain = geojson.read(spark, files.find_files(spark, [str(tmp_path / "in")], ".geojson"))
+    key = lambda df: sorted((r.path.removeprefix("file:"), r.ordinal, r.feature, r.geometry, r.bbox) for r in df.collect())
+    assert key(datasource.load(spark, [str(tmp_path / "in")])) == key(plain)
+    inside = (F.col("bbox.xmin") >= 2) & (F.col("bbox.xmax") < 6.5) & (F.col("ordinal") != 3)
+    for pushed in ("true", "false"):
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", pushed)
+        got = datasource.load(spark, [str(tmp_path / "in")]).where(inside)
+        assert key(got) == key(plain.where(inside)) and got.count() == 8
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    reader = datasource.FilteringReader([], "xy")
+    rest = list(reader.pushFilters([datasource.GreaterThan(("bbox", "xmin"), 2), datasource.LessThan(("ordinal",), 2), datasource.GreaterThan(("bbox", "name"), 2)]))
+    assert len(rest) == 2 and reader.tests == [(0, datasource.GreaterThan, 2.0)]
+    with pytest.raises(ValueError, match="no files"):
+        datasource.load(spark, [str(tmp_path / "none")])
+
+
+def test_footer_crs_and_axes(spark, tmp_path):
+    for name, crs in (("a", None), ("b", {"id": {"authority": "EPSG", "code": 3857}})):
+        own = {"encoding": "WKB", "geometry_types": []} | ({"crs": crs} if crs else {})
+        table = pa.table({"geometry": pa.array([], pa.binary())}).replace_schema_metadata({"geo": json.dumps({"primary_column": "geometry", "columns": {"geometry": own}})})
+        pq.write_table(table, tmp_path / f"{name}.parquet")
+    assert geoparquet.footer_crs(str(tmp_path / "a.parquet")) == "EPSG:4326"
+    assert geoparquet.footer_crs(str(tmp_path / "b.parquet"))["id"]["code"] == 3857
+    assert tuple(spark.range(1).select(boxes.swap_axes(boxes.literal_box(1, 2, 3, 4)).alias("b")).first().b) == (2, 1, 4, 3)
+
+
+def test_reference_systems():
+    base = {"type": "GeographicCRS", "name": "WGS 84", "datum": {}}
+    for good in (None, "EPSG:4326", "OGC:CRS84", 'GEOGCS["WGS 84"]', base, base | {"type": "GeodeticCRS"}, {"id": {"authority": "EPSG", "code": 4326}}, {"type": "ProjectedCRS", "name": "x", "base_crs": base, "conversion": {}}, {"type": "GeographicCRS", "name": "x", "datum_ensemble": {}}):
+        assert validate.crs_problem(good) is None, good
+    for bad in (5, "", "WGS 84", 'GEOGCS["x"', {}, {"type": "Planet"}, {"type": "GeographicCRS"}, {"id": {"code": 1}}, {"type": "ProjectedCRS", "name": "x", "base_crs": {"type": "no"}, "conversion": {}}):
+        assert validate.crs_problem(bad), bad
+
+
+@pytest.mark.parametrize(
+    "schema, good, bad",
+    [
+        ({"type": "integer", "minimum": 1, "exclusiveMaximum": 4}, [1, 3, 2.0], [0, 4, 1.5, "1", True, None]),
+        ({"type": ["string", "null"], "pattern": "^a", "minLength": 2}, ["ab", None], ["b", "a", 1]),
+        ({"enum": [1, "x"]}, [1, "x"], [2]),
+        ({"const": {"a": 1}}, [{"a": 1}], [{}]),
+        ({"type": "array", "items": {"type": "number"}, "minItems": 1, "maxItems": 2, "uniqueItems": True}, [[1], [1, 2]], [[], [1, 2, 3], ["a"], [1, 1]]),
+        ({"items": [{"type": "string"}, {"type": "number"}]}, [["a", 1], []], [[1]]),
+        ({"required": ["a"], "properties": {"a": {"type": "string"}}, "patternProperties": {"^x": {"type": "number"}}, "additionalProperties": False, "minProperties": 1}, [{"a": "b", "x1": 2}], [{}, {"a": 1}, {"a": "b", "c": 1}, {"a": "b", "x": "y"}]),
+        ({"anyOf": [{"type": "string"}, {"minimum": 5}]}, ["a", 6], [4]),
+        ({"oneOf": [{"minimum": 5}, {"maximum": 7}]}, [4, 8], [6]),
+        ({"allOf": [{"minimum": 5}], "not": {"const": 6}}, [5, 7], [4, 6]),
+        ({"$ref": "#/definitions/n", "definitions": {"n": {"type": "number"}}}, [1], ["a"]),
+        ({"if": {"type": "string"}, "then": {"minLength": 2}, "else": {"minimum": 3}}, ["ab", 3], ["a", 2]),
+        (False, [], [1]),
+        (True, [1], []),
+    ],
+)
+def test_json_schemas(schema, good, bad):
+    for value in good:
+        assert validate.check_schema(value, schema) == [], value
+    for value in bad:
+        assert validate.check_schema(value, schema), value
+
+
+def test_findings_are_not_cut_off(spark, tmp_path):
+    geo = {"version": "1.1.0", "primary_column": "geometry", "columns": {"geometry": {"encoding": "WKB", "geometry_types": ["Polygon"]}}}
+    table = pa.table({"geometry": pa.array([wkb.to_wkb(wkb.point(1, 2))] * 2500, pa.binary())}).replace_schema_metadata({"geo": json.dumps(geo)})
+    pq.write_table(table, tmp_path / "f.parquet")
+    found = validate.validate(spark, [str(tmp_path / "f.parquet")], True, {"required": ["odd"]})
+    assert {r.check: r.n for r in found.groupBy("check").agg(F.count("*").alias("n")).collect()} == {"V11": 2500, "V5": 1}

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +116,41 @@ def test_curves(spark):
         curves.to_world_grid(F.col("x"), 0, 1, 32)
 
 
+def plain_hilbert(x, y, bits):
+    """Quadrant by quadrant from the highest bit."""
+    d, swap, flip = 0, False, 0
+    for i in range(bits - 1, -1, -1):
+        u, v = (x >> i & 1) ^ flip, (y >> i & 1) ^ flip
+        u, v = (v, u) if swap else (u, v)
+        d = d * 4 + (3 * u ^ v)
+        if not v:
+            swap, flip = not swap, flip ^ u
+    return d
+
+
+@pytest.mark.parametrize("bits", [1, 3, 5, 16, 24, 31])
+def test_hilbert_of_any_order(spark, bits):
+    rng = random.Random(bits)
+    rows = [(rng.randrange(2**bits), rng.randrange(2**bits)) for _ in range(200)] + [(0, 0), (2**bits - 1, 0), (0, 2**bits - 1), (None, 1), (1, None)]
+    got = spark.createDataFrame(rows, "x long, y long").withColumn("h", curves.hilbert(F.col("x"), F.col("y"), bits)).collect()
+    assert [r.h for r in got] == [None if x is None or y is None else plain_hilbert(x, y, bits) for x, y in rows]
+
+
+def test_index_size_is_counted(spark):
+    sides = np.array([(0.0, 0.0, 10.0, 10.0)] * 9 + [(-np.inf, -np.inf, np.inf, np.inf)])
+    index = assign.TileIndex(tile_frame(spark, sides))
+    assert index.listed == index.cells_table.count() and index.listed > 4 * 10 + index.side**2
+
+
+def test_spare_tiles_follow_the_key(spark):
+    tiles = tile_frame(spark, np.array([(0.0, 0.0, 1.0, 1.0), (1.0, 0.0, 2.0, 1.0)]))
+    f = spark.range(40).select(F.col("id").alias("k"), boxes.literal_box(5.0, 5.0, 6.0, 6.0).alias("bbox"))
+    first, again = (sorted((r.k, r.tile_id) for r in assign.assign_min_expansion(f.repartition(n), tiles, "k", (0, 0, 9, 9)).collect()) for n in (1, 3))
+    assert first == again and len(first) == 40 and len({t for _, t in first}) == 2
+    text = f.withColumn("k", F.col("k").cast("string"))
+    assert assign.assign_min_expansion(text, tiles, "k", (0, 0, 9, 9)).where("tile_id is not null").count() == 40
+
+
 def test_histogram_partition_covers_every_point(spark):
     f = spark.range(3000).select((F.sin("id") * 10).alias("cx"), (F.cos(F.col("id") * 3) * 5).alias("cy"), "id")
     tiles = partition_by_histogram(f, 12, side=64, cells=True)
@@ -131,3 +168,14 @@ def test_human_size(spark):
     values = [0, 1023, 1024, 1536, 5 * 1024**2, 7 * 1024**4, None]
     df = spark.createDataFrame([(v,) for v in values], "n long")
     assert [r[0] for r in df.select(boxes.human_size(F.col("n"))).collect()] == ["0.00 B", "1023.00 B", "1.00 KB", "1.50 KB", "5.00 MB", "7.00 TB", None]
+
+
+def test_small_helpers(spark):
+    from quadrille.operators.tiles import uniform_points
+
+    points = uniform_points((0, 10, 1, 12), 500)
+    assert points.shape == (500, 2) and (points >= (0, 10)).all() and (points <= (1, 12)).all() and (points == uniform_points((0, 10, 1, 12), 500)).all()
+    assert ordering.unique_names(["b", "a", "b", "c", "a"]) == ["b", "a", "c"]
+    apart = assign.describe(tile_frame(spark, np.array([(0, 0, 1, 1), (1, 0, 2, 1.0)]))).first()
+    assert apart.asDict() == {"tiles": 2, "xmin": 0, "ymin": 0, "xmax": 2, "ymax": 1, "is_disjoint": True}
+    assert not assign.describe(tile_frame(spark, np.array([(0, 0, 1, 1), (0.5, 0, 2, 1.0)]))).first().is_disjoint
