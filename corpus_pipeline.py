@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and
 returns the columns of `documents`; the last returns the packed pieces. Between stages
 the rows are written as Parquet to the shared checkpoint folder and read again.
+
+All stages read whole texts, however long, pass other columns through whatever their names,
+and return an empty table for an empty one. What each does with nulls, repeated rows and
+ties stands at the stage.
 """
 
 from __future__ import annotations
@@ -21,28 +25,49 @@ from quadrille.llm.secrets import redact_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; null and wordless texts go."""
+    """Documents that the classifier does not reject.
+
+    Null and wordless texts go. Rows are judged by their texts alone, so repeated rows stay or
+    go together, and null ids are kept like others. Evidence exactly at the threshold is kept.
+    """
     return drop_low_quality(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class."""
+    """The document with the smallest id of each near-duplicate class.
+
+    A similarity of exactly 0.8 is a link. Null and wordless texts are classes of their own and
+    stay. Of rows with equal id and text one stays, even if their other columns differ; rows with
+    one id and different texts stay together or go together. Rows with a null id stay.
+    """
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, re-parameterised or not."""
+    """Documents that hold no benchmark item, re-parameterised or not.
+
+    Null and empty texts hold none. Rows with one id, a null one too, are judged together and go
+    together. Null and empty items are held by nobody.
+    """
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced by its kind; n_chars follows the text."""
+    """All documents, each secret replaced by its kind; n_chars follows the text.
+
+    Null texts stay null, with a null n_chars; repeated rows are changed alike; of
+    overlapping spans the union is replaced by the kind of the first, ties by the rules' order.
+    """
     clean = redact_secrets(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequences and offsets."""
+    """Pieces of all documents with their sequences and offsets.
+
+    Null and empty texts are the end token alone; repeated rows and null ids are packed like
+    others; which of equally long pieces takes which place is arbitrary.
+    """
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
