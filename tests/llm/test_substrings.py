@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from quadrille.llm.substrings import repeated_spans, sliding_minimum, smallest_owner, sort_suffixes, words_at
+from quadrille.llm.substrings import Sizes, repeated_spans, sliding_minimum, smallest_owner, sort_suffixes, window_hashes, words_at
 
 
 def brute(rows, size=50):
@@ -50,7 +50,7 @@ def test_suffixes_are_sorted(seed):
     strings = [bytes(data[at[k] : at[k] + 50]) for k in order]
     assert strings == sorted(strings)
     assert fresh.tolist() == [i == 0 or strings[i] != strings[i - 1] for i in range(len(strings))]
-    context, offset, least = smallest_owner(data, lengths, owners, 50)
+    context, offset, least = smallest_owner(data, lengths, owners, 50, most=(1 << 19, 7)[seed % 2])
     best = {}
     for c, o in zip(context, offset):
         w = parts[c][o : o + 50]
@@ -58,7 +58,27 @@ def test_suffixes_are_sorted(seed):
     assert all(least[k] == best[parts[context[k]][offset[k] : offset[k] + 50]] for k in range(len(least)))
 
 
-def test_removal_equals_brute_force(spark):
+def test_words_and_window_hashes():
+    raw = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz" * 6, np.uint8)
+    words = words_at(raw)
+    assert [int(w) for w in words[:3]] == [int.from_bytes(bytes(raw[i : i + 8]), "big") for i in range(3)]
+    found = window_hashes(words, np.arange(90), 50)
+    assert (found[:26] == found[26:52]).all() and len(set(found[:26].tolist())) == 26
+
+
+def test_rows_of_exchanges_follow_the_input():
+    sizes = Sizes()
+    for total in (51 << 20, 203 << 20, 30 << 30, 1 << 40, 100 << 40):
+        runs = -(-total // sizes.run_for(total)) + total // (128 << 20)  # a part of a run for each task
+        assert runs * sizes.buckets_for(total) <= 130 * sizes.buckets + total / 13 / sizes.row * 2
+
+
+#: The defaults, and sizes at which blocks, runs, hot hashes and slices all matter.
+SMALL = Sizes(block=900, run=4000, bucket=500, buckets=5, row=1, hot=2, windows=60, sent=700)
+
+
+@pytest.mark.parametrize("sizes", [Sizes(), SMALL])
+def test_removal_equals_brute_force(spark, sizes):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefé") for _ in range(rng.randint(2, 7))) for _ in range(60)]
     prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
@@ -70,8 +90,8 @@ def test_removal_equals_brute_force(spark):
     rows = [(i, texts[k]) for i, k in enumerate(order)]
     rows += rows[:4] + [(None, texts[3]), (None, texts[3]), (3, "other text " * 9), (-5, passages[1])]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n_bytes int, spans string").repartition(4)
-    got = sorted((repr(r.doc_id), r.n_bytes, [(s.start, s.end) for s in r.spans], r.kept_sha256, bytes(r.kept)) for r in repeated_spans(df, with_text=True).collect())
+    got = sorted((repr(r.doc_id), r.n_bytes, [(s.start, s.end) for s in r.spans], r.kept_sha256, bytes(r.kept)) for r in repeated_spans(df, with_text=True, sizes=sizes).collect())
     raw = [(i, (t or "").encode()) for i, t in rows]
     want = sorted((repr(i), len(t), spans, hashlib.sha256(kept).hexdigest(), kept) for (i, t), (_, spans, kept) in zip(raw, brute(raw)))
     assert got == want
-    assert repeated_spans(df.limit(0)).count() == 0
+    assert repeated_spans(df.limit(0), sizes=sizes).count() == 0
