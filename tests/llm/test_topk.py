@@ -1,6 +1,6 @@
 import numpy as np
 
-from quadrille.llm.topk import floored, top_k
+from quadrille.llm.topk import cells_of, floored, top_k, top_splits
 
 
 def brute(rows, query_ids, k):
@@ -32,6 +32,37 @@ def test_whole_numbers_beyond_floating_point(spark):
     assert sorted(tuple(r) for r in top_k(df, df, 3).collect()) == brute(rows, {0, 1, 2, 3}, 3)
 
 
+def test_cells_prune_shards_before_vectors_travel(spark, monkeypatch):
+    from quadrille.llm import topk
+
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-400, 400, (16, 4)) * 10
+    rows = [(i, [float(v) for v in centres[i % 16] + rng.integers(-5, 6, 4)]) for i in range(1600)]
+    sent, plain = [], topk.in_blocks
+
+    def in_blocks(pairs, per_shard):
+        sent.append((pairs.count(), pairs.select("id").distinct().count()))
+        return plain(pairs, per_shard)
+
+    monkeypatch.setattr(topk, "in_blocks", in_blocks)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = top_k(df, df.where("vec_id % 20 = 0"), 5, shard_rows=50, leaf_rows=8).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute(rows, {i for i, _ in rows if i % 20 == 0}, 5)
+    queries, shards = 80, 32
+    assert sent[0] == (queries, queries)
+    assert sum(n for n, _ in sent) < queries * shards / 4
+
+
+def test_splits_give_cells_of_like_size():
+    rng = np.random.default_rng(1)
+    rows = rng.normal(size=(4000, 5))
+    found = np.bincount(cells_of(rows, top_splits(rows, 16)))
+    assert len(found) == 16 and found.min() > 200
+    same = np.ones((50, 3))
+    assert cells_of(same, top_splits(same, 8)).tolist() == [0] * 50
+    assert cells_of(np.zeros((0, 3)), top_splits(np.zeros((0, 3)), 1)).tolist() == []
+
+
 def test_floored(spark):
     df = spark.createDataFrame([(1, [0.1, -0.1, 1e30, None, float("nan")])], "vec_id long, embedding array<float>")
     out = floored(df).first().embedding
