@@ -22,6 +22,8 @@ from quadrille.llm.common import slices
 UNITS, WINDOW, LANES = 8, 96, 4096
 #: Labelled documents of a language in the sample, on average, and windows of one document.
 TRAIN_ROWS, TRAIN_WINDOWS = 1200, 3
+#: Languages that are learned, the most frequent labels: rare ones beyond are taken for slips.
+MOST_LANGUAGES = 200
 UNKNOWN = "und"
 
 
@@ -126,18 +128,21 @@ class Network:
         return logits
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
-        """Mean probabilities (texts, languages) over all positions of whole texts; zeros for empty ones."""
+        """Mean probabilities (texts, languages) over all positions of whole texts; zeros for empty ones.
+
+        A text's last window is filled up with spaces, always to a whole window, so that a
+        text's result does not depend on the texts beside it.
+        """
         sums = np.zeros((len(texts), len(self.languages)))
         windows = [(len(t[a : a + WINDOW]), i, a) for i, t in enumerate(texts) for a in range(0, len(t), WINDOW)]
         windows.sort()
         for lo in range(0, len(windows), LANES):
             part = windows[lo : lo + LANES]
-            width = part[-1][0]
-            codes = np.frombuffer(b"".join(texts[i][a : a + n].ljust(width, b" ") for n, i, a in part), np.uint8).reshape(len(part), width)
+            codes = np.frombuffer(b"".join(texts[i][a : a + n].ljust(WINDOW, b" ") for n, i, a in part), np.uint8).reshape(len(part), WINDOW)
             probability = self.positions(np.ascontiguousarray(codes.T))
             lengths = np.array([n for n, _, _ in part])
-            if lengths[0] < width:
-                probability = probability * (np.arange(width)[:, None, None] < lengths)
+            if lengths[0] < WINDOW:
+                probability = probability * (np.arange(WINDOW)[:, None, None] < lengths)
             np.add.at(sums, np.array([i for _, i, _ in part]), probability.sum(axis=0).T)
         return sums / np.maximum(np.array([[len(t)] for t in texts]), 1)
 
@@ -191,10 +196,11 @@ def windows_of(text: str) -> list[bytes]:
     return [raw[a : a + WINDOW] for a in starts[:: max(1, -(-len(starts) // TRAIN_WINDOWS))]]
 
 
-def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows: int = TRAIN_ROWS) -> Network | None:
-    """Trains on labelled rows of df, about `train_rows` of each language by a hash of the id; None without any."""
+def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows: int = TRAIN_ROWS, languages: int = MOST_LANGUAGES) -> Network | None:
+    """Trains on labelled rows of df, about `train_rows` of each of the `languages` most frequent labels by a hash of the id; None without any."""
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).agg(F.count("*")).collect()}
+    frequent = rows.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(languages)
+    sizes = {r[0]: r[1] for r in frequent.collect()}
     if not sizes:
         return None
     shares = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, int(min(1.0, train_rows / n) * (1 << 30)))])
@@ -207,10 +213,10 @@ def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows:
 
     found = rows.where(chosen).select(text_col, lang_col).mapInArrow(cut_windows, "bytes binary, lang string").collect()
     samples = sorted((bytes(r[0]), r[1]) for r in found)
-    languages = sorted({x for _, x in samples})
+    known = sorted({x for _, x in samples})
     if not samples:
         return None
-    return train([x for x, _ in samples], np.array([languages.index(x) for _, x in samples]), languages)
+    return train([x for x, _ in samples], np.array([known.index(x) for _, x in samples]), known)
 
 
 def identify(df: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,9 +1,10 @@
+import math
 import random
 import zlib
 
 import numpy as np
 
-from quadrille.llm.langid import Direction, fold_of, identify, learn, train
+from quadrille.llm.langid import WINDOW, Direction, fold_of, identify, learn, train
 
 ALPHABETS = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "éüñßöàçèab"}
 
@@ -64,3 +65,56 @@ def test_operator(spark):
     assert learn(df.limit(0), "doc_id", "text", "lang") is None
     assert {r.lang_pred for r in identify(df, None).collect()} == {"und"}
     assert identify(df.limit(0), network).count() == 0
+
+
+def test_rare_labels_are_not_learned(spark):
+    rng = random.Random(9)
+    rows = [(i, text(rng, k, 10), k) for i, k in enumerate(["aa", "bb"] * 12)] + [(100 + i, text(rng, "cc", 10), f"slip{i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert learn(df, "doc_id", "text", "lang", languages=2).languages == ["aa", "bb"]
+
+
+def plain_states(layer, codes):
+    """States of one direction, unit by unit."""
+    units = layer.recurrent.shape[1]
+    state, out = [0.0] * units, []
+    w = layer.recurrent.tolist()
+    for code in codes:
+        x = layer.inputs[code].tolist()
+        dot = lambda row, s: sum(a * b for a, b in zip(row, s))
+        gate = lambda k: 1 / (1 + math.exp(-2 * (dot(w[k], state) + x[k])))
+        z, r = [gate(k) for k in range(units)], [gate(units + k) for k in range(units)]
+        held = [a * b for a, b in zip(r, state)]
+        new = [math.tanh(dot(w[2 * units + k], held) + x[2 * units + k]) for k in range(units)]
+        state = [s + a * (c - s) for s, a, c in zip(state, z, new)]
+        out.append(state)
+    return out
+
+
+def plain_pooled(net, text):
+    raw = text.lower().encode()
+    sums = [0.0] * len(net.languages)
+    for a in range(0, len(raw), WINDOW):
+        window = raw[a : a + WINDOW]
+        codes = window + b" " * (WINDOW - len(window))
+        ahead, back = plain_states(net.forward, codes), plain_states(net.backward, codes[::-1])[::-1]
+        for t in range(len(window)):
+            both = ahead[t] + back[t]
+            logits = [sum(a * b for a, b in zip(row, both)) + c for row, c in zip(net.output.tolist(), net.bias.tolist())]
+            top = max(logits)
+            parts = [math.exp(x - top) for x in logits]
+            for k, x in enumerate(parts):
+                sums[k] += x / sum(parts)
+    return [x / len(raw) for x in sums]
+
+
+def test_operator_equals_plain_loops(spark):
+    rng = random.Random(3)
+    rows = [(i, text(rng, k, rng.randint(1, 40)), k) for i, k in enumerate(list(ALPHABETS) * 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = learn(df, "doc_id", "text", "lang")
+    for parts in (1, 7):
+        for r in identify(df.repartition(parts), net).collect():
+            want = plain_pooled(net, rows[r.doc_id][1])
+            best = max(range(len(want)), key=want.__getitem__)
+            assert r.lang_pred == net.languages[best] and abs(r.score - want[best]) < 1e-4
