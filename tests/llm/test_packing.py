@@ -25,6 +25,20 @@ def test_encoder_equals_library():
         assert np.frombuffer(encoder.encode(text or ""), "<u4").tolist() == reference_ids(text)[:-1]
 
 
+def test_encoder_equals_library_on_a_whole_table():
+    import pathlib
+
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    table = pathlib.Path("/root/testdata/sf0.01/documents.parquet")
+    if not table.exists():
+        pytest.skip("the table is not here")
+    encoder, library = Encoder(FILE), Tokenizer.from_file(FILE)
+    for text in pq.read_table(table, columns=["text"])["text"].to_pylist():
+        assert np.frombuffer(encoder.encode(text or ""), "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_histogram_packing_is_complete(seed):
     random.seed(seed)
