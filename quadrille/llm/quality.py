@@ -179,17 +179,23 @@ def fit_scorer(profiles: list[Profile], good: np.ndarray, rounds: int = 300, rat
 
 
 def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, carry: list[str] | None = None) -> DataFrame:
-    """(id or the `carry` columns, p_good, evidence) for every row.
+    """(id or the `carry` columns, p_good, evidence) for every row; see scored() for names that clash.
 
     evidence is the log-odds of good by the text alone, p_good adds the share of good documents.
     Null and wordless texts have p_good 0 and evidence minus infinity. Null and repeated ids pass through, repeated
     texts score alike, other columns are not read; an empty table gives an empty result. All
     words of a text count, however long it is.
     """
+    own = scored(df, id_col, text_col, train_rows, [id_col] if carry is None else carry)
+    return own.toDF(*([id_col] if carry is None else carry), "p_good", "evidence")
+
+
+def scored(df: DataFrame, id_col: str, text_col: str, train_rows: int, names: list[str]) -> DataFrame:
+    """The columns `names` as c0, c1, ..., then p_good and evidence, so that no name can clash."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    names = [id_col] if carry is None else carry
-    target = df.select(*names, F.col(text_col).alias("_text"))
-    scored_type = ", ".join(f"`{c}` {target.schema[c].dataType.simpleString()}" for c in names) + ", p_good double, evidence double"
+    inner = [f"c{i}" for i in range(len(names))]
+    target = df.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner)], F.col(text_col).alias("text"))
+    scored_type = ", ".join(f"{c} {target.schema[c].dataType.simpleString()}" for c in inner) + ", p_good double, evidence double"
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +204,7 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
     found = docs.select("text").mapInArrow(votes, "pattern int").groupBy("pattern").agg(F.count("*").alias("n")).collect()
     seen = [(r.pattern, r.n) for r in found if r.pattern >= 0]
     if not seen:
-        return target.select(*names, F.lit(0.0).alias("p_good"), F.lit(-math.inf).alias("evidence"))
+        return target.select(*inner, F.lit(0.0).alias("p_good"), F.lit(-math.inf).alias("evidence"))
     patterns, counts = (np.array(x, np.int64) for x in zip(*sorted(seen)))
     posterior = dict(zip(patterns.tolist(), estimate(patterns, counts)[0].tolist()))
     cutoff = int(min(1.0, train_rows / counts.sum()) * (1 << 30))
@@ -231,14 +237,19 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
         for batch in batches:
             z = np.array([held.value.evidence(Profile.of(t, _words)) for t in batch.column(batch.num_columns - 1).to_pylist()], float)
             p = np.where(np.isinf(z), 0.0, 1 / (1 + np.exp(-np.clip(held.value.bias + z, -50, 50))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64()), pa.array(z, pa.float64())], names=[*names, "p_good", "evidence"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64()), pa.array(z, pa.float64())], names=[*inner, "p_good", "evidence"])
 
     return target.mapInArrow(score, scored_type)
 
 
-def drop_low_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, **options) -> DataFrame:
-    """The rows and columns of df that the classifier does not reject."""
-    return classify(df, id_col, text_col, carry=df.columns, **options).where(F.col("evidence") >= least).select(df.columns)
+def drop_low_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows and columns of df that the classifier does not reject.
+
+    Null and wordless texts go; null and repeated ids and repeated rows are judged by their
+    texts alone; an empty table stays empty; other columns pass through, whatever their names.
+    """
+    own = scored(df, id_col, text_col, train_rows, df.columns).where(F.col("evidence") >= least)
+    return own.drop("p_good", "evidence").toDF(*df.columns)
 
 
 def op4_weak_label_quality(spark, sf_dir: str) -> DataFrame:
