@@ -10,10 +10,13 @@ generated up to a time by which all components are expected to be filled (contin
 the rare other case), so a signature costs about m ln m points beyond one for each shingle.
 
 Signatures are cut into bands; documents that share a band are candidates and are verified
-on their whole multisets. Equal multisets are collapsed first. Within a band bucket not
-all pairs are compared: every member is compared with pivots, whose number grows from
-round to round, and buckets leave as soon as all their members are in one class. A
-bucket that stays ends with all its members pivots, so no link between candidates is lost.
+on their whole multisets. Equal multisets are collapsed first. No bucket is compared pair
+by pair: its members first meet one pivot. Only members of buckets that are then in several
+classes go on, and meet through rare elements (a shingle and the number of its copy): a
+pair at or above the threshold must share one of the rarest few elements of either side, where
+elements that a single class holds come first, since they link to no other class. Members
+whose rarest elements are all of that kind, as of documents that share a passage or were
+edited apart, can have no link left and meet nobody.
 """
 
 from __future__ import annotations
@@ -25,18 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import components, cut, release, slices
+from quadrille.llm.common import bounded, components, cut, cut_round, gathered, merged, release, slices
 from quadrille.llm.shingles import mix, multiset, weighted_jaccard
 
 #: 44 bands of 6: a pair with similarity 0.8 is missed with probability 2e-6, and one with 0.5,
 #: as documents that share a passage have, is in a band's bucket with probability 0.02.
 BANDS, ROWS = 44, 6
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: Pivots of a bucket in the first rounds at most; later rounds have 32 times as many: 4 times the
-#: cells of classes, each with 8 times the cells of ids, so that large classes give several pivots too.
-CELLS = (1, 8, 32)
-#: Neither number grows beyond this: buckets are smaller.
-MOST_CELLS = 1 << 30
+#: Pivots of a cell in the first round over rare elements; each later round has 16 times as many.
+PIVOTS = 16
+#: Their number does not grow beyond this: cells are smaller.
+MOST_PIVOTS = 1 << 30
 
 
 def bag_minhashes(sets: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
@@ -132,11 +134,11 @@ def signatures(docs: DataFrame, words: int = 5, bands: int = BANDS, rows: int =
     return docs.mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, keys array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose whole multisets are similar enough."""
+def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float, rows: int) -> DataFrame:
+    """The pairs (a, b), `rows` in number, whose whole multisets are similar enough."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    full = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    full = left.join(bounded(pairs, rows), "a").join(right, "b").select("a", "b", "text_a", "text_b")
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,15 +155,68 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
     return full.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def elements(texts: DataFrame, words: int) -> DataFrame:
+    """(id, part, class_id, n, elements) of (id, class_id, text): elements are shingles with the number of their copy.
+
+    Multisets become plain sets of elements, whose Jaccard similarity is the weighted one. `part`
+    tells texts with one id apart.
+    """
+    kinds = [texts.schema[c].dataType.simpleString() for c in ("id", "class_id")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, n, held = [], [], []
+            for text in batch.column(2).to_pylist():
+                hashes, counts = multiset(text, words)
+                with np.errstate(over="ignore"):
+                    copy = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                    own = mix(np.repeat(hashes, counts) + copy.astype(np.uint64) * GOLDEN)
+                    part.append(int(mix(own).sum(dtype=np.uint64).astype(np.int64)))
+                n.append(len(own)), held.append(own.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part, pa.int64()), batch.column(1), pa.array(n, pa.int64()), pa.array(held, pa.list_(pa.int64()))], names=["id", "part", "class_id", "n", "elements"])
+
+    return texts.select("id", "class_id", "text").mapInArrow(run, f"id {kinds[0]}, part long, class_id {kinds[1]}, n long, elements array<long>")
+
+
+def rare_cells(held: DataFrame, least: float) -> DataFrame:
+    """(element, id, n, reach, class_id) of `elements`: the rare elements through which a row may have links to other classes.
+
+    All rows order their elements alike: those of a single class first, then by how many rows hold
+    them. A pair meets at the first element that both hold; all they share comes from there on.
+    `reach` is the largest size of a partner then: both sizes together are at most (1 + least) /
+    least times what either has from there on. Elements whose reach is below any partner's size
+    are left out, so about a ninth to a fifth of a row's elements stay, private ones counted.
+    """
+    each = held.select("id", "part", "class_id", "n", F.explode("elements").alias("element"))
+    spread = each.groupBy("element").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count("*").alias("often")).where("low < high")
+    met = each.join(spread.select("element", "often"), "element")
+    own = met.groupBy("id", "part", "class_id", "n").agg(F.collect_list(F.struct("often", "element")).alias("shared"))
+    size = F.size("shared")
+    # private elements, which come first, and then `place` rarer ones are not in the overlap of a pair that first meets here
+    reach = (1 + least) / least * (F.size("shared") - F.col("place")) - F.col("n") + 1e-6
+    placed = own.select("id", "n", "class_id", "shared", F.posexplode(F.array_sort("shared")).alias("place", "e"))
+    return placed.withColumn("reach", reach).where(F.col("reach") >= least * F.col("n") - 1e-6).select("e.element", "id", "n", "reach", "class_id")
+
+
+def open_cells(cells: DataFrame, rows: int, passes: int = 2) -> DataFrame:
+    """Those of at most `rows` rows that may link to another class of their cell, by classes, sizes and reaches."""
+    for _ in range(passes):
+        around = cells.groupBy("element").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.min("n").alias("small"), F.max("reach").alias("far"))
+        cells = cells.join(bounded(around.where("low < high"), rows), "element").where("small <= reach and n <= far").select(cells.columns)
+    return cells
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, class_id) for every row; class_id is the smallest id of the row's class.
 
     A class is a connected component of links between rows whose multisets of
     `words`-word shingles have a weighted Jaccard similarity of `least` or more. Null and
     wordless texts are alone in their classes; texts of fewer words are one shingle; equal
-    multisets are always in one class, repeated rows too; a null id has a null class and
-    takes no part. Other columns are not read; an empty table gives an empty result.
+    multisets are always in one class, repeated rows too; texts are read whole, however
+    long, one at a time; a null id has a null class and takes no part. Other columns are not
+    read; an empty table gives an empty result.
     """
+    spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = cut(signatures(docs, words, bands, rows))
     same = ["f1", "f2", "n"]
@@ -170,45 +225,48 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # the smaller side of the exchange: one row for each text and band
     banded = firsts.select("id", "n", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("crowd")).where("low < high")
-    members = cut(banded.join(shared.select("key", "crowd"), "key").dropDuplicates(["key", "id"]))
+    members = cut(banded.join(shared.select("key", "crowd"), "key").dropDuplicates(["key", "id", "n"]))
     # members of large buckets come first as pivots: the original of a group of copies is among them
     first = members.groupBy("id").agg((-F.sum("crowd")).alias("first"))
     texts = cut(docs.where("text is not null").join(first.select("id"), "id", "left_semi"))
-    fields = ["first", "id", "n", "class_id"]
-    members = members.join(first, "id").withColumn("class_id", F.col("id")).select("key", *fields)
-    links, labels, turn, joined = None, None, 0, False
-    while True:
-        # a pivot for each cell of a bucket meets all members of other classes, then it leaves. First
-        # one, then a few by id, mostly of the largest class, which strangers meet cheaply; the
-        # rest is compared by cells of classes, a whole class being met by each other one, and
-        # classes that stay large by more and more of their ids at once
-        late = max(0, turn - len(CELLS) + 1)
-        cell = F.pmod(F.xxhash64("id" if turn < 2 else "class_id", "key"), F.lit(min(CELLS[min(turn, len(CELLS) - 1)] * 4**late, MOST_CELLS)))
-        part = F.pmod(F.xxhash64("key", "id"), F.lit(min(8**late, MOST_CELLS)))
-        lowest, highest = F.min("class_id").alias("low"), F.max("class_id").alias("high")
-        pivots = members.groupBy("key", cell.alias("cell"), part.alias("part")).agg(F.min(F.struct(*fields)).alias("p"), F.count("*").alias("c"), lowest, highest)
-        marks = pivots.groupBy("key").agg(F.collect_list("p").alias("ps"), F.sum("c").alias("held"), F.min("low").alias("low"), F.max("high").alias("high"))
-        # a bucket is finished when its members are in one class
-        met = cut(members.join(marks.where("low < high").select("key", "ps", "held"), "key"))
-        if turn and not met.count():
-            break
+    members = members.join(first, "id").select("key", "id", "n", "first")
+    pivots = members.groupBy("key").agg(F.min(F.struct("first", "id", "n")).alias("p"))
+    met = cut(members.join(pivots, "key").where(F.col("id") != F.col("p.id")).select("key", "id", "n", "p"))
+    near = F.least("n", "p.n") >= least * F.greatest("n", "p.n")
+    pairs = met.where(near).select(F.least("id", "p.id").alias("b"), F.greatest("id", "p.id").alias("a")).distinct()
+    tried = cut_round(pairs)
+    many = tried.count()
+    links = cut_round(verified(tried, texts, words, least, many))
+    labels = components(links)
+    held = labels.count()
+    labelled = lambda rows: rows.join(bounded(labels.withColumnRenamed("node", "id"), held), "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    # the pivot has met all members; a bucket is finished when the others are in one class
+    classed = labelled(met.select("key", "id"))
+    unfinished = classed.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("key")
+    left = classed.join(unfinished, "key", "left_semi").select("id", "class_id").distinct()
+    cells = cut_round(rare_cells(cut(elements(texts.join(left, "id").select("id", "class_id", "text"), words)), least))
+    rows = cells.count()
+    cells = cut_round(gathered(open_cells(gathered(cells, rows), rows), rows))
+    rows, count = cells.count(), PIVOTS
+    while rows:
+        part = F.pmod(F.xxhash64("element", "id"), F.lit(count))
+        chosen = cells.groupBy("element", part.alias("part")).agg(F.min(F.struct("id", "n", "reach", "class_id")).alias("p")).select("element", "p")
         p = F.col("p")
-        fresh = (F.col("class_id") != p.class_id) & (F.least("n", p.n) >= least * F.greatest("n", p.n))
-        pairs = met.select(*fields, F.explode("ps").alias("p")).where(fresh)
-        pairs = pairs.select(F.least("id", p.id).alias("b"), F.greatest("id", p.id).alias("a")).distinct()
-        found = cut(verified(pairs, texts, words, least))
-        members = met.where(~F.array_contains("ps.id", F.col("id")) & (F.col("held") - F.size("ps") > 1)).select("key", *fields)
-        links = found if links is None else links.unionByName(found)
-        if turn < 2:
-            labels = components(links)
-            members = members.drop("class_id").join(labels.withColumnRenamed("node", "id"), "id", "left")
-            members = members.withColumn("class_id", F.coalesce("class_id", "id")).select("key", *fields)
-        else:  # later links only add to the classes, and what they join was still compared
-            joined = joined or bool(found.count())
-        turn += 1
-        release(df.sparkSession)
-    if joined:
-        labels = components(links)
+        apart = (F.col("class_id") != p.class_id) & (F.col("n") <= p.reach) & (p.n <= F.col("reach")) & (F.least("n", p.n) >= least * F.greatest("n", p.n))
+        pairs = cells.join(bounded(chosen, rows), "element").where(apart).select(F.least("id", p.id).alias("b"), F.greatest("id", p.id).alias("a")).distinct()
+        fresh = cut_round(pairs.join(bounded(tried, many), ["a", "b"], "left_anti"))
+        if found := fresh.count():
+            fresh = gathered(fresh, found)
+            more = cut_round(verified(fresh, texts, words, least, found))
+            tried, many = tried.unionByName(fresh), many + found
+            if not more.isEmpty():
+                labels = merged(labels, more, held)
+                held = labels.count()
+        # pivots have met their cells
+        rest = cells.join(bounded(chosen.select("element", p.id.alias("id")), rows), ["element", "id"], "left_anti")
+        cells = cut_round(gathered(open_cells(labelled(rest.drop("class_id")).select(cells.columns), rows), rows))
+        rows, count = cells.count(), min(16 * count, MOST_PIVOTS)
+        release(spark)
     whole = known.select("id", *same).join(groups, same, "left")
     whole = whole.join(labels.select(F.col("node").alias("rep"), "class_id"), "rep", "left")
     lone = F.when(F.col("id").isNotNull(), F.coalesce("class_id", "rep", "id"))

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from quadrille.llm.common import components
+from quadrille.llm.common import components, merged
 from quadrille.llm.minhash import bag_minhash, bag_minhashes, drop_near_duplicates, near_duplicates
 from quadrille.llm.shingles import multiset, weighted_jaccard
 
@@ -68,6 +68,12 @@ def test_components(spark):
         assert a == b or got[a] == got[b]
 
 
+def test_merged_labels(spark):
+    labels = components(spark.createDataFrame([(1, 2), (3, 4), (4, 5), (8, 9)], "a long, b long"))
+    more = merged(labels, spark.createDataFrame([(5, 2), (10, 9), (20, 21), (21, 22), (3, 5)], "a long, b long"), labels.count())
+    assert {r.node: r.class_id for r in more.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8, 10: 8, 20: 20, 21: 20, 22: 20}
+
+
 def test_classes_equal_brute_force(spark):
     rng = random.Random(5)
     texts = [None, "", " \n", "short", "short", "Short text", "Und " * 400, "Und " * 390, "Und " * 200]
@@ -106,3 +112,53 @@ def test_unlinked_families_in_one_bucket_end(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in near_duplicates(df, bands=6, rows=1).collect()}
     assert got == brute_classes(rows) == {i: i // 50 * 50 for i in range(100)}
+
+
+def counted(monkeypatch):
+    """Pairs that reach verification, round by round."""
+    from quadrille.llm import minhash
+
+    rounds, plain = [], minhash.verified
+
+    def verified(pairs, *rest):
+        rounds.append(rest[-1])
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "verified", verified)
+    return rounds
+
+
+def test_strangers_that_share_a_passage_do_not_meet_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(7)
+    passage = [f"p{k}" for k in range(200)]
+    found = {}
+    for count in (60, 240):
+        rows = [(i, " ".join([*[f"a{rng.randrange(10**8)}" for _ in range(40)], *passage, *[f"b{rng.randrange(10**8)}" for _ in range(rng.randrange(30, 60))]])) for i in range(count)]
+        rounds = counted(monkeypatch)
+        got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        monkeypatch.undo()
+        assert got == {i: i for i in range(count)}
+        found[count] = sum(rounds)
+    assert found[240] <= 8 * found[60] + 240  # in proportion to buckets' members, not to pairs, which are 16 times as many
+
+
+def test_large_group_of_edited_copies(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(140)]
+    rows = list(enumerate(variants(rng, base, 250, 8)))  # many are too far from the original, and from each other
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(0, 250, 10)]  # copies of copies, linked to those alone
+    order = list(rows)
+    rng.shuffle(order)
+    rounds = counted(monkeypatch)
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+    assert len(set(got.values())) > 20 and max(Counter(got.values()).values()) > 80
+    assert sum(rounds) < len(rows) * (len(rows) - 1) / 2 / 8
+
+
+def test_very_long_texts_and_ids_with_several_texts(spark):
+    long = [f"v{k % 30011}" for k in range(60000)]
+    rows = [(5, " ".join(long)), (3, " ".join([*long, "one", "more"])), (9, " ".join(f"u{k}" for k in range(60000)))]
+    rows += [(7, "some text of a row whose id comes again"), (7, " ".join(long[:30]))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(3, 3), (5, 3), (7, 7), (7, 7), (9, 9)]
