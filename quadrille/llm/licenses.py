@@ -226,10 +226,43 @@ def _sql_canonical(text: str) -> str:
     return plain
 
 
+#: Texts that license_hits deals to the documents in turn; the last is nobody's.
+DEALT = [*KNOWN.values(), "Not a licence at all."]
+#: How license_hits dresses them, in turn.
+DRESSES = 4
+
+
+def license_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan over one known text for each document, as it is, in capitals, under a copyright line, and with other marks; every seventh goes on after it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    k = F.col("doc_id")
+    body = F.element_at(F.array(*[F.lit(t) for t in DEALT]), (F.pmod(k, F.lit(len(DEALT))) + 1).cast("int"))
+    turn = F.pmod(F.floor(k / len(DEALT)), F.lit(DRESSES))
+    claim = F.concat(F.lit("Copyright (c) "), (F.pmod(k, F.lit(30)) + 1990).cast("string"), F.lit(" Some Body\n\n"), body)
+    dressed = F.when(turn == 0, body).when(turn == 1, F.upper(body)).when(turn == 2, claim).otherwise(F.replace(F.replace(body, F.lit("."), F.lit(" ;\n")), F.lit(","), F.lit(" -")))
+    return scan_licenses(docs.select("doc_id", F.concat(dressed, F.when(k % 7 == 0, F.lit(" and more")).otherwise("")).alias("text")))
+
+
+QUERIES = {"license_hits": license_hits}
+
+
+def _hits_sql() -> str:
+    n, claim = len(DEALT), "'Copyright (c) ' || (doc_id % 30 + 1990)::varchar || ' Some Body' || chr(10) || chr(10) || body"
+    marks = "replace(replace(body, '.', ' ;' || chr(10)), ',', ' -')"
+    return f"""
+with known(license, body) as (values {", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in KNOWN.items())}),
+digests as (select sha256({_sql_canonical("body")}) as digest, min(license) as license from known group by 1),
+dealt as (select doc_id, list_extract([{", ".join(map(_sql_text, DEALT))}], (doc_id % {n} + 1)::int) as body, (doc_id // {n}) % {DRESSES} as turn from documents),
+dressed as (select doc_id, (case turn when 0 then body when 1 then upper(body) when 2 then {claim} else {marks} end) || (case when doc_id % 7 = 0 then ' and more' else '' end) as text from dealt),
+docs as (select doc_id, sha256({_sql_canonical("text")}) as digest from dressed)
+select docs.doc_id, docs.digest, digests.license from docs left join digests on docs.digest = digests.digest"""
+
+
 ORACLES = {
     "op3_license_scan": f"""
 with known(license, body) as (values {", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in KNOWN.items())}),
 digests as (select sha256({_sql_canonical("body")}) as digest, min(license) as license from known group by 1),
 docs as (select doc_id, sha256({_sql_canonical("text")}) as digest from documents)
-select docs.doc_id, docs.digest, digests.license from docs left join digests on docs.digest = digests.digest"""
+select docs.doc_id, docs.digest, digests.license from docs left join digests on docs.digest = digests.digest""",
+    "license_hits": _hits_sql(),
 }
