@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and
 returns the columns of `documents`; the last returns the packed pieces. Between stages
-the rows are written as Parquet to the shared checkpoint folder and read again.
+the rows are written as Parquet to the shared checkpoint folder and read again; a stage's
+folder goes when the next one is written, the last stays for the result.
 
 All stages read whole texts, however long, pass other columns through whatever their names,
 and return an empty table for an empty one. What each does with nulls, repeated rows and
@@ -16,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import checkpoint_dir
+from quadrille.llm.common import checkpoint_dir, drop_folder
 from quadrille.llm.decontaminate import drop_contaminated
 from quadrille.llm.minhash import drop_near_duplicates
 from quadrille.llm.packing import pack_documents
@@ -81,7 +82,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            drop_folder(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
