@@ -77,7 +77,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         df = load(spark, args.input, args.geometry)
         catalog.write_catalog(catalog.catalog(partition(df, args.num_partitions, "_key", fraction=args.sample_pct / 100, cells=args.coverage == "filling")), args.out)
     elif args.command == "catalog":
-        found = spark.read.parquet(args.tiles).withColumn("tile_id", F.regexp_extract("_metadata.file_name", r"^(.*?)\.", 1)).withColumn("_size", F.col("_metadata.file_size"))
+        found = spark.read.parquet(args.tiles).withColumn("tile_id", F.regexp_extract("_metadata.file_name", r"^(.*?)(?:-part\d+)?\.", 1)).withColumn("_size", F.col("_metadata.file_size"))
         table = catalog.catalog(read_tiles(spark, args.index), stats.summary(found, ["tile_id"], geometry=args.geometry, size=F.col("_size")))
         catalog.write_catalog(table, args.out)
         if args.strict and catalog.missing_statistics(table).limit(1).count():
@@ -86,7 +86,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         df = load(spark, args.input, args.geometry) if files.format_of(args.input) == "geojson" else spark.read.parquet(args.input)
         tiles = read_tiles(spark, args.index) if args.index else None
         if tiles is not None and "tile_id" not in df.columns:
-            df = df.withColumn("tile_id", F.regexp_extract("_metadata.file_name", r"^(.*?)\.", 1))
+            df = df.withColumn("tile_id", F.regexp_extract("_metadata.file_name", r"^(.*?)(?:-part\d+)?\.", 1))
         if not args.region and not args.region_file:
             raise ValueError("a region or a region file is needed")
         region = args.region or regions.region_from_file(spark, args.region_file, args.field, args.value)

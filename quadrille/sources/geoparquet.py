@@ -21,6 +21,8 @@ from quadrille.operators.ordering import cluster, order_by, sort_keys, sort_mode
 from quadrille.operators.regions import bbox_filter
 from quadrille.sources.files import geo_metadata, open_fs, read_geo
 
+#: Tiles whose sizes are broadcast (some 50 bytes each), and rows of a tile that one task writes.
+BROADCAST_TILES, MOST_TILE_ROWS = 50_000, 5_000_000
 WRITTEN = "path string, tile_id string, rows long, bytes long, xmin double, ymin double, xmax double, ymax double"
 
 
@@ -114,24 +116,35 @@ def write_files(df: DataFrame, folder: str, geometry: str = "geometry", tile: st
     return source.mapInArrow(run, WRITTEN)
 
 
-def write_tiles(df: DataFrame, folder: str, tile: str = "tile_id", geometry: str = "geometry", mode: str = "hilbert", keys: str | None = None, bits: int = 16, x: str = "cx", y: str = "cy", **options) -> DataFrame:
+def tile_sizes(rows: DataFrame, tile: str, x: str, y: str) -> DataFrame:
+    """(tile, _rows, _x0, _y0, _x1, _y1): one aggregation; as a broadcast table if there are few tiles."""
+    own = rows.groupBy(tile).agg(F.count("*").alias("_rows"), F.min(x).alias("_x0"), F.min(y).alias("_y0"), F.max(x).alias("_x1"), F.max(y).alias("_y1"))
+    found = own.limit(BROADCAST_TILES + 1).collect()
+    return F.broadcast(rows.sparkSession.createDataFrame(found, own.schema)) if len(found) <= BROADCAST_TILES else own
+
+
+def write_tiles(
+    df: DataFrame, folder: str, tile: str = "tile_id", geometry: str = "geometry", mode: str = "hilbert", keys: str | None = None, bits: int = 16, x: str = "cx", y: str = "cy", most_rows: int = MOST_TILE_ROWS, **options
+) -> DataFrame:
     """One file for each tile, sorted within (K1, K3, O1, O2): a single shuffle by tile, one open file for each task.
 
-    Rows without a tile are left out; count them with operators.assign.skipped. The curve
-    key is computed on the tile's own extent.
+    A tile of more than `most_rows` rows is dealt to several tasks, which write `<tile>.parquet`,
+    `<tile>-part1.parquet` and so on. Rows without a tile are left out; count them with
+    operators.assign.skipped. The curve key is computed on the tile's own extent.
     """
     rows = df.where(F.col(tile).isNotNull())
     mode = sort_mode(mode)
+    rows = rows.join(tile_sizes(rows, tile, x, y), tile)
     if mode in ("zorder", "hilbert"):
-        own = rows.groupBy(tile).agg(F.min(x).alias("_x0"), F.min(y).alias("_y0"), F.max(x).alias("_x1"), F.max(y).alias("_y1"))
-        rows = rows.join(own, tile)
         cx, cy = to_extent_grid(F.col(x), F.col("_x0"), F.col("_x1"), bits), to_extent_grid(F.col(y), F.col("_y0"), F.col("_y1"), bits)
         rows = rows.withColumns({"_cx": cx, "_cy": cy}).withColumn("_key", hilbert(F.col("_cx"), F.col("_cy"), bits) if mode == "hilbert" else morton(F.col("_cx"), F.col("_cy")))
         order = [F.col("_key").asc_nulls_last(), F.col(x), F.col(y)]
     else:
         order = order_by(sort_keys(keys)) if mode == "columns" else []
-    dealt = rows.repartition(tile).sortWithinPartitions(tile, *order).select(*df.columns)
-    return write_files(dealt, folder, geometry, tile, **options)
+    part = F.pmod(F.xxhash64(x, y, geometry), F.ceil(F.col("_rows") / F.lit(most_rows)))
+    rows = rows.withColumn("_file", F.concat(F.col(tile).cast("string"), F.when(part > 0, F.concat(F.lit("-part"), part.cast("string"))).otherwise("")))
+    dealt = rows.repartition("_file").sortWithinPartitions("_file", *order).select("_file", *[c for c in df.columns if c != tile])
+    return write_files(dealt, folder, geometry, "_file", **options).withColumn("tile_id", F.regexp_replace("tile_id", r"-part\d+$", ""))
 
 
 def write_clustered(df: DataFrame, folder: str, geometry: str = "geometry", curve: str = "hilbert", bits: int = 24, partitions: int | None = None, row_group_rows: int = 100_000, **options) -> DataFrame:

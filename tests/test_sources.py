@@ -265,3 +265,17 @@ def test_findings_are_not_cut_off(spark, tmp_path):
     pq.write_table(table, tmp_path / "f.parquet")
     found = validate.validate(spark, [str(tmp_path / "f.parquet")], True, {"required": ["odd"]})
     assert {r.check: r.n for r in found.groupBy("check").agg(F.count("*").alias("n")).collect()} == {"V11": 2500, "V5": 1}
+
+
+def test_large_tiles_are_dealt_to_several_files(spark, points, tmp_path):
+    tiles = tile_frame(spark, np.array([(-100, -50, 90, 50), (90, -50, 100, 50)], float))
+    assigned = assign.assign_disjoint(points, tiles)
+    written = geoparquet.write_tiles(assigned, str(tmp_path / "t"), most_rows=300).collect()
+    want = {r.tile_id: r.n for r in assigned.where("tile_id is not null").groupBy("tile_id").agg(F.count("*").alias("n")).collect()}
+    got = {}
+    for r in written:
+        assert r.rows <= 450 and r.path.split("/")[-1].startswith(r.tile_id)
+        got[r.tile_id] = got.get(r.tile_id, 0) + r.rows
+    assert got == want and len(written) == sum(-(-n // 300) for n in want.values())
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert back.count() == sum(want.values()) and sorted(back.columns) == sorted(c for c in assigned.columns if c != "tile_id")
