@@ -80,7 +80,8 @@ def hilbert(x: Column, y: Column, bits: int) -> Column:
     """
     _check(bits)
     steps = -(-bits // 4)
-    table = F.expr(f"array({','.join(map(str, _turns()))})")
+    # one constant, which the optimizer folds, not an expression for each entry
+    table = F.split(F.lit(",".join(map(str, _turns()))), ",").cast("array<int>")
     turned, digits = F.lit(4 * steps - bits & 1), []  # each leading pair of zeros exchanges the axes
     for k in range(steps - 1, -1, -1):
         four = lambda v: F.shiftright(v, 4 * k).bitwiseAND(F.lit(15)).cast("int")  # noqa: B023, E731
