@@ -32,7 +32,7 @@ LITERAL_SHARE = 0.5
 #: beyond, every window of the corpus goes into the join. The result is the same.
 FILTER_HASHES = 2_000_000
 #: Words a worker remembers at once.
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
 
 # Words that stand for numbers, and units of measure.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: Documents the scorer is trained on, on average (all, if there are fewer): a documented bound.
 TRAIN_ROWS = 10_000
 #: Buckets of hashed words; words a worker remembers at once.
-BUCKETS, MOST_WORDS = 1 << 17, 500_000
+BUCKETS, MOST_WORDS = 1 << 17, 200_000
 BAD, GOOD, NONE = 0, 1, 2
 #: Words of a text at which its evidence counts half in the scorer.
 SHRINK = 16
