@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import boxes, curves
 from quadrille.operators import assign, ordering
-from quadrille.operators.tiles import Splitter, clip_to, expand_to_infinity, partition_by_histogram, tile_frame, tile_name, tile_number
+from quadrille.operators.tiles import Splitter, clip_to, expand_to_infinity, partition_by_histogram, partition_whole, tile_frame, tile_name, tile_number
 
 
 def plain_split(points, parts, fill=0.95):
@@ -157,6 +157,44 @@ def test_histogram_partition_covers_every_point(spark):
     assert assign.assign_disjoint(f, tiles).where(F.col("tile_id").isNull()).count() == 0
 
 
+def odd_points(kind):
+    rng = np.random.default_rng(5)
+    even = rng.uniform(0, 10, (600, 2))
+    return {
+        "even": even,
+        "clusters": np.vstack([rng.normal(0, 1e-6, (400, 2)), rng.normal(1e6, 1, (200, 2)), [[1e12, -1e12], [-1e300, 3.0]]]),
+        "ties": rng.integers(0, 6, (900, 2)).astype(float),
+        "line": np.column_stack([np.zeros(300), rng.normal(size=300)]),
+        "same": np.full((50, 2), 7.0),
+        "mostly same": np.vstack([np.full((200, 2), 7.0), even[:100]]),
+        "one": np.array([[1.0, 2.0]]),
+    }[kind]
+
+
+@pytest.mark.parametrize("kind,side", [("even", 512), ("even", 8), ("clusters", 32), ("ties", 8), ("line", 16), ("same", 512), ("mostly same", 512), ("one", 512)])
+def test_whole_partition_keeps_its_promises_for_all_points(spark, kind, side):
+    points, parts = odd_points(kind), 7
+    f = spark.createDataFrame([*[tuple(map(float, p)) for p in points], (None, 1.0), (1.0, float("nan")), (float("inf"), 1.0)], "cx double, cy double")
+    sides, cells = (np.array([tuple(r.box) for r in partition_whole(d, parts, side=side, cells=c).orderBy("ordinal").collect()]) for d, c in ((f, False), (f.repartition(3), True)))
+    inside = ((points[:, None] >= sides[None, :, :2]) & (points[:, None] <= sides[None, :, 2:])).all(axis=2)
+    assert (inside.sum(axis=1) == 1).all()
+    assert (inside == ((points[:, None] >= cells[None, :, :2]) & (points[:, None] < cells[None, :, 2:])).all(axis=2)).all()
+    capacity = -(-len(points) // parts)
+    for tile, held in zip(sides, inside.T):
+        assert (tile == [*points[held].min(axis=0), *points[held].max(axis=0)]).all()
+        assert held.sum() <= capacity or (tile[:2] == tile[2:]).all()
+        assert held.sum() >= 0.45 * capacity - 1 or kind not in ("even", "clusters", "line")
+    assert len(sides) <= 2 * parts
+
+
+def test_whole_partition_refuses_nothing(spark):
+    f = spark.createDataFrame([(None, 1.0)], "cx double, cy double")
+    with pytest.raises(ValueError):
+        partition_whole(f, 3)
+    with pytest.raises(ValueError):
+        partition_whole(f, 0)
+
+
 def test_sort_specs():
     assert ordering.sort_keys(" a:desc, b ,c:down,") == [("a", False), ("b", True), ("c", True)]
     assert ordering.sort_mode("Z-Order") == "zorder" and ordering.sort_mode(None) == "none"
