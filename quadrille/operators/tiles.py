@@ -11,7 +11,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions import boxes
@@ -185,6 +185,11 @@ class _Part:
     halves: tuple[_Part, _Part] | None = None
 
 
+def computed(df: DataFrame, *columns: Column) -> DataFrame:
+    """The columns alone, computed once a row: what computes them is not repeated wherever later filters and expressions name them."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def _part(cell: tuple[float, ...], tight: np.ndarray, count: float) -> _Part:
     tight = tuple(map(float, tight))
     return _Part(cell, tight, int(count), [(tight[0], tight[2]), (tight[1], tight[3])])
@@ -212,7 +217,8 @@ def _gridded(points: DataFrame, parts: list[_Part], side: int) -> list[np.ndarra
 
     held = assign.assign_disjoint(points, cells, "x", "y").join(zooms, "tile_id")
     bounds = [F.min("x"), F.min("y"), F.max("x"), F.max("y")]
-    found = held.groupBy("_part", place("x").alias("_i"), place("y").alias("_j")).agg(F.count("*"), *bounds).toPandas().to_numpy(float)
+    found = held.groupBy("_part", place("x").alias("_i"), place("y").alias("_j")).agg(F.count("*"), *bounds).toArrow()
+    found = np.column_stack([c.to_numpy() for c in found.columns]).astype(float)
     found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
     return [f[:, 1:] for f in np.split(found, np.searchsorted(found[:, 0], np.arange(1, len(parts))))]
 
@@ -284,7 +290,7 @@ def partition_whole(features: DataFrame, parts: int, x: str = "cx", y: str = "cy
     """
     if parts < 1:
         raise ValueError("at least one part is needed")
-    points = features.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(boxes.is_finite(F.col("x")) & boxes.is_finite(F.col("y")))
+    points = computed(features, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(boxes.is_finite(F.col("x")) & boxes.is_finite(F.col("y")))
     count, *tight = points.agg(F.count("*"), F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     if not count:
         raise ValueError("there is no point")

@@ -363,7 +363,7 @@ def partition_tiles_checked(spark, sf_dir):
 
     Tiles are made of all points and every point is looked up in them; features without a point are counted, but lie in no tile.
     """
-    f = features(spark, sf_dir).select("cx", "cy")
+    f = tilesets.computed(features(spark, sf_dir), F.col("cx"), F.col("cy"))
     has_point = boxes.is_finite(F.col("cx")) & boxes.is_finite(F.col("cy"))
     held = tilesets.partition_whole(f, 24)
     spots = f.where(has_point).withColumn("bbox", boxes.box(F.col("cx"), F.col("cy"), F.col("cx"), F.col("cy")))
